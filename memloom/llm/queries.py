@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import chunks, components, mixing, neardup, packing, tokens, vectors
+from memloom.llm import chunks, components, mixing, moderation, neardup, packing, tokens, vectors
 from memloom.sources.tables import current_nodes, latest_edges, norm_id, norm_name, table
 
 MIN_COSINE = 0.85
@@ -87,7 +87,20 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1].select("mix_id", "source", "share", "target", "tokens", "actual_share", "documents", "copies", "capped")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pieces, p5_found, p7_found, p7_packed, p7_report, p8_found, p8_chosen, p8_report)}
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = moderation.score_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return scored.select("doc_id", *(F.round(c, 6).alias(c) for c in (*moderation.CATEGORIES, "score")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moderation.score_texts(table(spark, sf_dir, "documents"), "doc_id", "text").where(F.col("score") >= moderation.THRESHOLD).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moderation.source_rates(moderation.score_texts(table(spark, sf_dir, "documents"), "doc_id", "text", keep=["source"]))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pieces, p5_found, p7_found, p7_packed, p7_report, p8_found, p8_chosen, p8_report, p9_found, p9_scores, p9_rates)}
 
 _CURRENT = """cur AS (SELECT lower(trim(id)) AS id, arg_max(content, coalesce(updated_at, TIMESTAMPTZ '1970-01-01 00:00:00+00')) AS content FROM nodes WHERE id IS NOT NULL GROUP BY 1)"""
 

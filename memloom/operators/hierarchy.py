@@ -12,7 +12,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.operators.skew import stitched_rank
@@ -183,7 +183,16 @@ def expand_paths(hierarchy: DataFrame) -> DataFrame:
 
 
 def descendants(hierarchy: DataFrame, of: DataFrame) -> DataFrame:
-    """(node_id, descendant_id) for the ids in ``of`` (one column node_id), by preorder intervals in the same root."""
-    wanted = hierarchy.join(of.select("node_id").distinct(), "node_id").where("n_descendants > 0").select("root_id", "node_id", F.col("pre").alias("lo"), (F.col("pre") + F.col("n_descendants")).alias("hi"))
-    inside = hierarchy.where("not in_loop").select("root_id", F.col("node_id").alias("descendant_id"), "pre")
-    return wanted.join(inside, "root_id").where("pre > lo and pre <= hi").select("node_id", "descendant_id")
+    """(node_id, descendant_id) for the ids in ``of`` (one column node_id), from the segments of every node.
+
+    A chain lists its asked nodes by place, and for each place how many of them are at or above it; a
+    segment takes that many. So the work goes with the rows that come out, not with the size of a tree.
+    """
+    nodes = hierarchy.where("chain is not null").select("node_id", "chain", "pos", "segments")
+    above = Window.partitionBy("chain").orderBy("pos")
+    placed = nodes.join(of.select("node_id").distinct().withColumn("asked", F.lit(1)), "node_id", "left").select("chain", "pos", F.when(F.col("asked") == 1, F.col("node_id")).alias("asked"))
+    listed = placed.withColumn("n", F.count("asked").over(above).cast("int")).groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "asked"))).alias("m"))
+    chains = listed.select("chain", F.array_compact(F.transform("m", lambda x: x.asked)).alias("asked"), F.transform("m", lambda x: x.n).alias("upto_n")).where(F.size("asked") > 0)
+    parts = nodes.select(F.col("node_id").alias("descendant_id"), F.explode("segments").alias("seg")).select("descendant_id", F.col("seg.chain").alias("chain"), F.col("seg.upto").alias("upto"))
+    taken = parts.join(chains, "chain").select("descendant_id", F.slice("asked", F.lit(1), F.get("upto_n", F.col("upto").cast("int"))).alias("ids"))
+    return taken.select(F.explode("ids").alias("node_id"), "descendant_id").where("node_id <> descendant_id")

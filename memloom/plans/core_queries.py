@@ -26,11 +26,17 @@ def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The descendants of every root that heads a tree; other nodes by the same intervals."""
+    """The descendants of every root that heads a tree, as its SQL has them; those of every node are in p4_all_descendants."""
     h = H.materialize(H.build_hierarchy(table(spark, sf_dir, "spans")), "hierarchy")
     return H.descendants(h, h.where("depth = 0").select("node_id"))
 
 
+def p4_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The descendants of every node, roots and inner nodes alike."""
+    h = H.materialize(H.build_hierarchy(table(spark, sf_dir, "spans")), "hierarchy")
+    return H.descendants(h, h.select("node_id"))
+
+
 def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "edges").select(norm_id("source").alias("s"), norm_id("target").alias("t"), "weight", "seq")
     row = lambda side, key, other: F.struct(F.lit(side).alias("side"), F.col(key).alias("node_id"), F.col(other).alias("other"))
@@ -47,7 +53,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skew.heavy_keys(p, ["side"], 0.02).select("side", "node_id")
 
 
-QUERIES = {"p4_hierarchy": p4_hierarchy, "p4_found": p4_found, "p4_paths": p4_paths, "p4_descendants": p4_descendants, "p6_profile": p6_profile, "p6_found": p6_found}
+QUERIES = {"p4_hierarchy": p4_hierarchy, "p4_found": p4_found, "p4_paths": p4_paths, "p4_descendants": p4_descendants, "p4_all_descendants": p4_all_descendants, "p6_profile": p6_profile, "p6_found": p6_found}
 
 _LINKS = """links AS (SELECT lower(trim(span_id)) AS id, min(nullif(lower(trim(parent_id)), '')) AS parent
   FROM spans WHERE nullif(lower(trim(span_id)), '') IS NOT NULL GROUP BY 1)"""
@@ -76,6 +82,9 @@ SELECT id AS node_id, root AS root_id, depth, false AS in_loop, n AS n_descendan
 UNION ALL SELECT id, root, -1, true, NULL FROM looped""",
     "p4_paths": f"WITH RECURSIVE {_TREE} SELECT id AS node_id, path FROM tree",
     "p4_descendants": f"WITH RECURSIVE {_TREE} SELECT root AS node_id, id AS descendant_id FROM tree WHERE depth > 0",
+    "p4_all_descendants": f"""WITH RECURSIVE {_TREE},
+up AS (SELECT id, id AS anc FROM tree UNION ALL SELECT u.id, l.parent FROM up u JOIN links l ON l.id = u.anc WHERE l.parent IN (SELECT id FROM links))
+SELECT anc AS node_id, id AS descendant_id FROM up WHERE anc <> id""",
     "p6_profile": f"""WITH {_ENDS} SELECT side, node_id, count(*) AS n_rows, round(sum(weight), 6) AS weight_sum, count(DISTINCT other) AS n_others,
 min(other) AS first_other, max(other) AS last_other FROM ends GROUP BY 1, 2""",
     "p6_found": f"""WITH {_ENDS} SELECT side, node_id FROM ends GROUP BY 1, 2 HAVING count(*) >= 0.02 * (SELECT count(*) FROM edges)""",

@@ -70,3 +70,21 @@ def test_spelling_nulls_empty(spark):
 def test_extra_columns_with_clashing_names(spark):
     df = spark.createDataFrame([("a", None, 1, "x"), ("b", "a", 2, "y")], "span_id string, parent_id string, size int, head string")
     assert {r.node_id: r.depth for r in H.build_hierarchy(df).collect()} == {"a": 0, "b": 1}
+
+
+def test_query_gives_descendants_of_inner_nodes_too(spark, tmp_path):
+    from memloom.plans.core_queries import QUERIES
+
+    pairs = [("a", None), ("b", "a"), ("c", "b"), ("d", "b"), ("e", "d"), ("x", "y"), ("y", "x")]
+    spark.createDataFrame(pairs, "span_id string, parent_id string").write.parquet(str(tmp_path / "spans.parquet"))
+    got = sorted((r.node_id, r.descendant_id) for r in QUERIES["p4_all_descendants"](spark, str(tmp_path)).collect())
+    assert got == [("a", "b"), ("a", "c"), ("a", "d"), ("a", "e"), ("b", "c"), ("b", "d"), ("b", "e"), ("d", "e")]
+
+
+def test_descendants_of_some_nodes(spark):
+    r = random.Random(8)
+    pairs = [(f"n{i:03}", f"n{r.randrange(max(0, i - 4), i):03}" if i else None) for i in range(120)]
+    want, h = run(spark, pairs)
+    asked = [f"n{i:03}" for i in range(0, 120, 7)]
+    rows = [(x.node_id, x.descendant_id) for x in H.descendants(h, spark.createDataFrame([(a,) for a in asked + ["n000", "none"]], "node_id string")).collect()]
+    assert sorted(rows) == sorted((a, i) for i, (_, _, path) in want.items() for a in path.split("/")[:-1] if a in asked)

@@ -30,7 +30,6 @@ WORD = re.compile(r"[^\W_]+")  # maximal runs of letters or digits
 BITS = 256
 COMMON = 8192  # the most frequent words come last in the order; the list is the only thing broadcast
 BLOCK = 2048  # sets in one tree
-EXPAND = 64  # copies are written out as pairs up to this class size, as (smallest, member) beyond it
 
 
 class BKTree:
@@ -73,14 +72,14 @@ def words_of(text: str | None) -> set[str]:
 
 
 def word_sets(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """Rows (id, set_key, words) for texts of at least ``min_words`` different words, and rows
+    """Rows (id, set_key, text_key, words) for texts of at least ``min_words`` different words, and rows
     (word, n) with the number of such texts of a task that have the word."""
 
     def read(batches):
         known: dict[str, int] = {}
         counts: dict[int, int] = {}
         for batch in batches:
-            ids, keys, flat, sizes = [], [], [], []
+            ids, keys, exact, flat, sizes = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text)
                 if len(words) < min_words:
@@ -91,6 +90,7 @@ def word_sets(df: DataFrame, id_col: str, text_col: str, min_words: int) -> Data
                 hashes = np.sort(np.fromiter((known[w] for w in words), np.int64, len(words)))
                 ids.append(key)
                 keys.append(xxhash.xxh128_digest(hashes.tobytes()))
+                exact.append(xxhash.xxh128_digest(text))
                 flat.append(hashes)
                 sizes.append(len(hashes))
                 if len(known) > 500_000:
@@ -100,20 +100,20 @@ def word_sets(df: DataFrame, id_col: str, text_col: str, min_words: int) -> Data
                 counts[w] = counts.get(w, 0) + n
             n = len(ids)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.binary()), lists, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.binary()), pa.array(exact, pa.binary()), lists, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
             if len(counts) > 500_000:
                 yield tail(counts)
                 counts = {}
         yield tail(counts)
 
-    names = ["id", "set_key", "words", "word", "n"]
+    names = ["id", "set_key", "text_key", "words", "word", "n"]
 
     def tail(counts):
         n = len(counts)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=names)
 
     work = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(F.length("text") >= 2 * min_words - 1)
-    return materialize(work.mapInArrow(read, "id string, set_key binary, words array<bigint>, word bigint, n bigint"), "words")
+    return materialize(work.mapInArrow(read, "id string, set_key binary, text_key binary, words array<bigint>, word bigint, n bigint"), "words")
 
 
 def _prefix_rows(classes: DataFrame, common: np.ndarray, threshold: float) -> DataFrame:
@@ -197,8 +197,8 @@ def _search_shards(shards: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, min_words: int = 20, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(members, links): ``members`` has ``id, cid`` of every text of at least ``min_words`` different
-    words (equal word sets share a cid); ``links`` has ``a, b, similarity`` for every pair of different
+    """(members, links): ``members`` has ``id, cid, text_key`` of every text of at least ``min_words``
+    different words (equal word sets share a cid, equal texts also a text_key); ``links`` has ``a, b, similarity`` for every pair of different
     sets with Jaccard similarity >= threshold, each pair once.
 
     ``df`` has one row an id. Null, empty and short texts are in no class; an empty table gives none;
@@ -209,7 +209,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold:
     texts = raw.where("id is not null")
     firsts = texts.groupBy("set_key").agg(F.min("id").alias("id"))
     classes = materialize(texts.join(firsts.select("id"), "id", "left_semi").select(F.monotonically_increasing_id().alias("cid"), "set_key", "words"), "classes")
-    members = materialize(texts.select("id", "set_key").join(classes.select("set_key", "cid"), "set_key").select("id", "cid"), "members")
+    members = materialize(texts.select("id", "set_key", "text_key").join(classes.select("set_key", "cid"), "set_key").select("id", "cid", "text_key"), "members")
     top = raw.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON).collect()
     common = np.array([r.word for r in top], dtype=np.int64)
     prefix = materialize(_prefix_rows(classes, common, threshold), "prefix")
@@ -235,19 +235,23 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold:
     return members, materialize(both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold), "links")
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, min_words: int = 20, expand: int = EXPAND) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, min_words: int = 20, expand: int | None = None) -> DataFrame:
     """(node_a, node_b), the smaller id first, of all pairs of ids with similarity >= threshold.
 
-    Copies (equal word sets) are written out as pairs while their class has at most ``expand`` members.
-    A larger class is given as pairs of its smallest id with every other member, and its smallest id
-    stands for it in pairs with other classes, so the rows stay in proportion to the ids and links.
+    With ``expand``, a group of more exactly equal texts than that is given as pairs of its smallest id
+    with every other member, and its smallest id stands for it in all other pairs. Different texts are
+    always paired, also where their word sets are equal.
     """
     members, links = near_duplicate_classes(df, id_col, text_col, threshold, min_words)
-    sizes = members.groupBy("cid").agg(F.count("*").alias("m"), F.min("id").alias("first"))
-    known = materialize(members.join(sizes, "cid"), "members")
-    shown = known.where((F.col("m") <= expand) | (F.col("id") == F.col("first"))).select("id", "cid")
-    small = known.where((F.col("m") > 1) & (F.col("m") <= expand)).select("id", "cid")
-    inside = small.join(small.withColumnRenamed("id", "other"), "cid").where("id < other").select(F.col("id").alias("x"), F.col("other").alias("y"))
-    large = known.where((F.col("m") > expand) & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"))
+    shown = members.select("id", "cid")
+    copies = None
+    if expand is not None:
+        groups = members.groupBy("cid", "text_key").agg(F.count("*").alias("m"), F.min("id").alias("first"))
+        known = materialize(members.join(groups, ["cid", "text_key"]), "members")
+        shown = known.where((F.col("m") <= expand) | (F.col("id") == F.col("first"))).select("id", "cid")
+        copies = known.where((F.col("m") > expand) & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"))
+    inside = shown.join(shown.withColumnRenamed("id", "other"), "cid").where("id < other").select(F.col("id").alias("x"), F.col("other").alias("y"))
     across = links.join(shown.select(F.col("cid").alias("a"), F.col("id").alias("x")), "a").join(shown.select(F.col("cid").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-    return inside.unionByName(large).unionByName(across).select(F.least("x", "y").alias("node_a"), F.greatest("x", "y").alias("node_b"))
+    found = inside.unionByName(across)
+    found = found.unionByName(copies) if copies is not None else found
+    return found.select(F.least("x", "y").alias("node_a"), F.greatest("x", "y").alias("node_b"))

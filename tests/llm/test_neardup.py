@@ -83,3 +83,21 @@ def test_nulls_short_long_and_empty(spark):
 
 def test_words():
     assert N.words_of("It's É_Straße 42!") == {"it", "s", "é", "straße", "42"}
+
+
+def test_all_pairs_of_large_classes(spark):
+    words = [f"w{i}" for i in range(25)]
+    r = random.Random(6)
+    texts = {"near": " ".join(words[:24]) + " other"}
+    for i in range(70):
+        r.shuffle(words)
+        texts[f"c{i:02}"] = " ".join(words)
+    texts.update({f"d{i:02}": " ".join(sorted(words)) for i in range(70)})
+    assert pairs(spark, texts) == brute(texts)
+
+
+def test_star_form_for_equal_texts_only(spark):
+    words = [f"w{i}" for i in range(25)]
+    texts = {f"c{i}": " ".join(words) for i in range(6)} | {f"d{i}": " ".join(words[i + 1 :] + words[: i + 1]) for i in range(6)} | {"near": " ".join(words[:24]) + " other"}
+    shown = {k: texts[k] for k in texts if k == "c0" or k[0] != "c"}
+    assert pairs(spark, texts, expand=3) == brute(shown) | {("c0", f"c{i}") for i in range(1, 6)}

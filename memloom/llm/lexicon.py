@@ -48,15 +48,20 @@ gangbang milf masturbate masturbating orgasm creampie bukkake 色情 成人视
 HORNY = """horny geile geil chaudes chaude calientes caliente cachondas sexy wet aroused 性感 美女""".split()
 PEOPLE_WORDS = """girls girl women amateurs strangers babes teens weiber frauen madchen filles chicas mujeres singles milfs ladies 美女 girlfriend""".split()
 BARE = """naked nude undressed topless nackt nackte culotte kleider ropa clothes vetements 裸体""".split()
-# Explaining or quoting a rule: words named, not said.
-META = """words word term terms examples example guide policy rule rules flag flagged reviewers reviewer moderators moderation moderator filter
-blocklist denylist lexicon glossary vocabulary definition labelled annotators annotator such-as wort worter beispiel beispiele regel
-richtlinie mots mot exemple exemples regle palabras palabra ejemplo ejemplos regla terminos termino 词 例子 规则 词语""".split()
+# Naming a word: the noun, what leads from it to the words named, and what goes on with a list of them.
+META = """words word term terms examples example blocklist denylist lexicon glossary vocabulary definition wort worter beispiel beispiele
+mots mot exemple exemples palabra palabras ejemplo ejemplos termino terminos 词 例子 词语""".split()
+LINK = """such as like called namely including wie namens genannt comme appele como llamado 例如 如""".split()
+OR = """or nor and oder und noch ou et ni o y e 或 和""".split()
+# Attribution: what follows is said, not named.
+ATTRIBUTION = """wrote writes said says replied commented posted schrieb schreibt sagte sagt ecrit dit escribio dijo dice 写道 说""".split()
+# Words after which a negation denies nothing.
+MERELY = """just only merely simply nur seulement solo solamente 只""".split()
 NEGATION = """not isn't aren't wasn't don't doesn't didn't nobody nicht kein keine keiner pas jamais no nunca ningun without 不 不是 没有""".split()
 
 CLASSES = {
     "strong": STRONG, "weak": WEAK, "you": YOU, "be": BE, "degree": DEGREE, "vulgar": VULGAR, "animal": ANIMAL, "out": OUT, "people": PEOPLES, "slur": SLUR,
-    "body": BODY, "nude": NUDE, "sex": SEX, "porn": PORN, "horny": HORNY, "persons": PEOPLE_WORDS, "bare": BARE, "meta": META, "neg": NEGATION,
+    "body": BODY, "nude": NUDE, "sex": SEX, "porn": PORN, "horny": HORNY, "persons": PEOPLE_WORDS, "bare": BARE, "meta": META, "link": LINK, "or": OR, "attribution": ATTRIBUTION, "merely": MERELY, "neg": NEGATION,
 }
 
 # (category, weight, pattern)

@@ -3,10 +3,10 @@
 Texts are undone of disguises word by word (look-alike letters, digits for letters, stretched, spaced
 or masked letters). Word classes and patterns (``lexicon``) are compiled into one automaton: its
 states are positions in patterns, its arcs read a class, a word, or skip. A clause is run through the
-composition of that automaton with two others: one for negation, which turns a denied insult down,
-and one for speech about words, which does so for terms that are named as examples. Attribution
-("X wrote: ...") leaves a score as it is. A document's score is 1 - the product of (1 - score) over
-its matched clauses.
+composition of that automaton with ``factors``, which reads the words in order: a negation turns down
+the insults in its scope, a naming ("words such as ...", "the word ...", "... is a term") those that it
+names, and attribution ("X wrote: ...") ends both, so what is reported counts as said. A document's
+score is 1 - the product of (1 - score) over its matched clauses.
 """
 
 from __future__ import annotations
@@ -36,6 +36,9 @@ MASKS = "*#@%$?"
 INVISIBLE = re.compile("[\u00ad\u034f\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 SPACED = re.compile(r"(?<![^\W_])(?<!['’])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")
 HAN = re.compile("[\u4e00-\u9fff]")
+PAUSE = tuple(",;:，；：")
+QUOTES = "\"'“”‘’«»„"
+TERMS = {"<strong>", "<weak>", "<slur>", "<porn>", "<animal>", "<vulgar>"}
 END = tuple(".!?。！？…")
 CLOSING = "\"'”’)»"
 EDGE = "\"'“”‘’«»„()[]{}<>,;:.!?。！？…，；：、*_~`|/\\-–—"
@@ -59,7 +62,7 @@ class State:
     arcs: dict[str, list[int]] = field(default_factory=dict)
     skips: list[int] = field(default_factory=list)
     free: list[int] = field(default_factory=list)
-    final: list[tuple[str, float, bool]] = field(default_factory=list)
+    final: list[tuple[str, float]] = field(default_factory=list)
 
 
 class Grammar:
@@ -75,7 +78,7 @@ class Grammar:
         for category, weight, pattern in patterns:
             self._add(category, weight, pattern)
         # Words that only hold patterns together don't make a clause worth reading.
-        light = {w for w, c in self.classes.items() if c <= {"<you>", "<be>", "<degree>", "<neg>", "<meta>"}}
+        light = {w for w, c in self.classes.items() if c <= {"<you>", "<be>", "<degree>", "<neg>", "<meta>", "<link>", "<or>", "<attribution>", "<merely>"}}
         self.anchors = {w for w in self.words if w not in light and len(w) > 1}
         self.anchors |= {w for w in self.words if HAN.search(w) and w not in light}
         self.squeezed: dict[str, str] = {}
@@ -89,6 +92,7 @@ class Grammar:
         han = sorted((w for w in self.words if HAN.search(w)), key=len, reverse=True)
         self.han = re.compile("|".join(map(re.escape, han))) if han else None
         self._known: dict[str, str] = {}
+        self._closures: dict[int, list[int]] = {}
 
     def _new(self) -> int:
         self.states.append(State())
@@ -117,7 +121,7 @@ class Grammar:
                 self.states[here].free.append(there)
             here = there
         last = self.states[here]
-        last.final.append((category, weight, pattern in ("<strong>", "<porn>", "<slur>")))
+        last.final.append((category, weight))
 
     def _close(self, at: set[int]) -> set[int]:
         stack, out = list(at), set(at)
@@ -128,6 +132,12 @@ class Grammar:
                     stack.append(t)
         return out
 
+    def _closed(self, state: int) -> list[int]:
+        known = self._closures.get(state)
+        if known is None:
+            known = self._closures[state] = sorted(self._close({state}))
+        return known
+
     def canonical(self, token: str) -> str:
         """The word of the grammar behind a token, "" if there is none."""
         known = self._known.get(token)
@@ -193,39 +203,78 @@ class Grammar:
             return ""
         return self.squeezed.get(RUN.sub(r"\1", word), "")
 
-    def match(self, words: list[str]) -> list[tuple[str, float]]:
-        """(category, score) of the patterns that a clause goes through, after negation and naming."""
+    def factors(self, symbols: list[set[str]], tokens: list[str]) -> list[float]:
+        """What is left of each word's weight: 0.4 if it is denied, 0.1 if it is named."""
+        left = [1.0] * len(symbols)
+        denied = naming = False
+        noun = -9  # where a noun for words was read last
+        for i, s in enumerate(symbols):
+            bare = tokens[i].rstrip(CLOSING) if tokens else ""
+            term = bool(s & TERMS)
+            if "<attribution>" in s:
+                denied = naming = False
+                noun = -9
+            elif "<meta>" in s:
+                noun, naming = i, False
+            elif "<link>" in s and i - noun <= 3:
+                naming = True
+            elif naming or (term and i - noun == 1 and not tokens[i - 1 : i][0].rstrip(CLOSING).endswith(PAUSE)):
+                if term:
+                    left[i] = 0.1
+                naming = term or "<or>" in s or ("<degree>" in s and "<you>" not in s)
+            if "<neg>" in s:
+                denied = True
+            elif denied:
+                if term:
+                    left[i] = min(left[i], 0.4)
+                denied = "<merely>" not in s and (term or bool(s & {"<be>", "<degree>", "<or>"}))
+            if term and tokens[i][:1] in QUOTES and bare != tokens[i] and any("<meta>" in x for x in symbols[max(0, i - 4) : i + 5]):
+                left[i] = 0.1
+            if term and i + 1 < len(symbols) and "<be>" in symbols[i + 1]:
+                k = i + 2
+                while k < len(symbols) and "<degree>" in symbols[k] and not symbols[k] & TERMS:
+                    k += 1
+                if k < len(symbols) and "<meta>" in symbols[k]:
+                    left[i] = 0.1
+            if bare.endswith(PAUSE):
+                if bare[-1] in ":：" and 0 <= i - noun <= 2:
+                    naming = True
+                denied = denied and term and bare[-1] in ",，"
+        return left
+
+    def match(self, words: list[str], tokens: list[str] | None = None) -> list[tuple[str, float]]:
+        """(category, score) of the patterns that a clause goes through, after negation and naming.
+
+        A way through a pattern keeps the smallest factor of the words it reads; of the ways to a state
+        the best counts. Words that are skipped don't matter.
+        """
         symbols = [({w} | self.classes.get(w, set())) if w else set() for w in words]
-        begin = self._close({0})
-        live: set[int] = set()
-        found: list[tuple[str, float, int, bool]] = []
-        for i, syms in enumerate(symbols):
-            following: set[int] = set()
-            for s in live | begin:
+        turned = any("<neg>" in s or "<meta>" in s for s in symbols)
+        left = self.factors(symbols, tokens or words) if turned else [1.0] * len(words)
+        begin = dict.fromkeys(self._closed(0), 1.0)
+        live: dict[int, float] = {}
+        found: list[tuple[str, float]] = []
+        for syms, factor in zip(symbols, left):
+            following: dict[int, float] = {}
+            for s, kept in (live | begin).items():
                 state = self.states[s]
-                following.update(state.skips)
+                for t in state.skips:
+                    if kept > following.get(t, 0.0):
+                        following[t] = kept
+                read = kept if kept < factor else factor
                 for sym in syms:
-                    following.update(state.arcs.get(sym, ()))
-            live = self._close(following)
-            for s in live:
-                for category, weight, alone in self.states[s].final:
-                    found.append((category, weight, i, alone))
-        if not found:
-            return []
-        meta = [i for i, s in enumerate(symbols) if "<meta>" in s]
-        denied = [i for i, s in enumerate(symbols) if "<neg>" in s]
-        out = []
-        for category, weight, at, alone in found:
-            if alone or weight < 0.95:
-                # Named, not said: words of an explanation in the same clause.
-                if len(meta) >= 2 or (meta and alone):
-                    weight *= 0.1
-                if alone and any(0 < at - i <= 3 for i in denied):
-                    weight *= 0.4
-            elif len(meta) >= 3:
-                weight *= 0.1
-            out.append((category, weight))
-        return out
+                    for t in state.arcs.get(sym, ()):
+                        if read > following.get(t, 0.0):
+                            following[t] = read
+            live = {}
+            for s, kept in following.items():
+                for t in self._closed(s):
+                    if kept > live.get(t, 0.0):
+                        live[t] = kept
+            for s, kept in live.items():
+                if self.states[s].final:
+                    found.extend((category, weight * kept) for category, weight in self.states[s].final)
+        return found
 
     def score(self, text: str | None) -> dict[str, float]:
         """Scores by category; empty for texts without a match, also null and empty ones."""
@@ -254,7 +303,7 @@ class Grammar:
             while hi < len(tokens) - 1 and hi - i < 40 and tokens[hi].rstrip(CLOSING)[-1:] not in END:
                 hi += 1
             done = hi
-            for category, s in self.match(words[lo : hi + 1]):
+            for category, s in self.match(words[lo : hi + 1], tokens[lo : hi + 1]):
                 rest[category] = rest.get(category, 1.0) * (1 - s)
         return {c: 1 - r for c, r in rest.items()}
 

@@ -51,3 +51,13 @@ def test_operator(spark):
     rates = {r.source: (r.documents, r.flagged, r.rate) for r in M.source_rates(scored).collect()}
     assert rates == {"src_a": (3, 2, 2 / 3), "b": (2, 1, 0.5)}
     assert M.score_texts(df.where("doc_id = 9")).collect() == []
+
+
+@pytest.mark.parametrize("text", ["The reviewer is an asshole.", "You stupid moderators, your rules are garbage.", "No, you are an idiot.", "You are not just an idiot.", "The words he wrote: you are an asshole.", "This example is fine, asshole."])
+def test_stray_words_and_negations_out_of_scope(text):
+    assert M.grammar().score(text).get("abuse", 0) >= M.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["You are not an idiot.", "Du bist kein Idiot.", "Tu n'es pas un connard.", "They are not vermin.", "Asshole is a word.", "The word asshole stands in line 3.", "Terms such as asshole or wanker: see there.", "He marked 'asshole' as a term."])
+def test_denied_or_named(text):
+    assert all(s < M.THRESHOLD for s in M.grammar().score(text).values())

@@ -128,7 +128,7 @@ def f_edges(spark, d):
     return e.groupBy("relation").agg(F.count("*").alias("n"), F.count_if(F.col("weight") >= 0.5).alias("heavy"))
 
 
-@query(f"""WITH {N} SELECT id, CASE WHEN length(content) > 100 THEN substring(content, 1, 97) || '...' ELSE content END AS preview, epoch(created_at)::BIGINT AS created, strlen(content) // 4 AS tokens FROM n WHERE content IS NOT NULL""")
+@query(f"""WITH {N} SELECT id, CASE WHEN length(content) > 100 THEN substring(content, 1, 97) || '...' ELSE content END AS preview, epoch_us(created_at) // 1000000 AS created, strlen(content) // 4 AS tokens FROM n WHERE content IS NOT NULL""")
 def f_projection(spark, d):
     return nodes(spark, d, "content", "created_at").where("content is not null").select("id", text.preview(F.col("content")).alias("preview"), F.unix_seconds("created_at").alias("created"), text.token_estimate(F.col("content")).alias("tokens"))
 
@@ -240,20 +240,19 @@ def _far(spark, d) -> tuple[str, str]:
 _FAR = f"""{N}, {E}, {BUSY}, w AS (SELECT DISTINCT source AS f, target AS t FROM a WHERE source <> target AND target IN (SELECT id FROM n)),
 r AS (SELECT id, 0 AS depth FROM busy UNION SELECT w.t, r.depth + 1 FROM r JOIN w ON w.f = r.id WHERE r.depth < 3),
 goal AS (SELECT id FROM (SELECT id, min(depth) AS depth FROM r GROUP BY id) WHERE depth > 0 ORDER BY depth DESC, id LIMIT 1),
-p AS (SELECT id AS at, [id] AS path FROM busy UNION ALL SELECT w.t, list_append(p.path, w.t) FROM p JOIN w ON w.f = p.at WHERE len(p.path) < 4 AND NOT list_contains(p.path, w.t))"""
+p AS (SELECT id AS here, [id] AS path FROM busy UNION ALL SELECT w.t, list_append(p.path, w.t) FROM p JOIN w ON w.f = p.here WHERE len(p.path) < 4 AND NOT list_contains(p.path, w.t))"""
 
 
-@query(f"WITH RECURSIVE {_FAR} SELECT array_to_string(path, '/') AS path, len(path) - 1 AS hops FROM p WHERE at IN (FROM goal) ORDER BY len(path), path LIMIT 1")
+@query(f"WITH RECURSIVE {_FAR} SELECT array_to_string(path, '/') AS path, len(path) - 1 AS hops FROM p WHERE here IN (FROM goal) ORDER BY len(path), path LIMIT 1")
 def g_shortest_path(spark, d):
     start, end = _far(spark, d)
     return graph.shortest_path(edges(spark, d), nodes(spark, d, "updated_at"), start, end, 5).select(F.array_join("path", "/").alias("path"), F.col("hops").cast("long").alias("hops"))
 
 
-@query(f"WITH RECURSIVE {_FAR} SELECT array_to_string(path, '/') AS path FROM p WHERE at IN (FROM goal)")
+@query(f"WITH RECURSIVE {_FAR} SELECT array_to_string(path, '/') AS path FROM p WHERE here IN (FROM goal)")
 def g_all_paths(spark, d):
     start, end = _far(spark, d)
-    e = edges(spark, d).select("source", "target", "expired").dropDuplicates(["source", "target", "expired"])
-    return graph.all_paths(e, nodes(spark, d, "updated_at"), start, end, 4).select(F.array_join("path", "/").alias("path")).distinct()
+    return graph.all_paths(edges(spark, d, "expired", "seq"), nodes(spark, d, "updated_at"), start, end, 4).select(F.array_join("path", "/").alias("path")).distinct()
 
 
 @query()

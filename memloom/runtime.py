@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -31,11 +32,14 @@ def session(app: str = "memloom", master: str | None = None, **conf: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder takes its
+    place on a single machine (master ``local``); on a cluster, whose executors would each write to a
+    disk of their own, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="memloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -54,14 +58,17 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     if not _WRITTEN:
         atexit.register(_clean)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialized = path
+    return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a materialized table before the driver ends (loops call this for superseded states)."""
-    for file in df.inputFiles()[:1]:
-        folder = file.rsplit("/", 1)[0]
-        for item in [x for x in _WRITTEN if folder.endswith(x[1].split("://")[-1].rstrip("/"))]:
+def drop(*frames: DataFrame) -> None:
+    """Delete materialized tables that nothing unfinished reads any more: loops call this for superseded
+    states. Frames that aren't from ``materialize`` are left alone."""
+    for df in frames:
+        path = getattr(df, "_materialized", None)
+        for item in [x for x in _WRITTEN if x[1] == path]:
             _remove(*item)
             _WRITTEN.remove(item)
 

@@ -1,50 +1,52 @@
-"""Scores for abusive, hateful and sexual language, by a weighted finite-state grammar over clauses.
-
-Texts are undone of disguises word by word (look-alike letters, digits for letters, stretched, spaced
-or masked letters). Word classes and patterns (``lexicon``) are compiled into one automaton: its
-states are positions in patterns, its arcs read a class, a word, or skip. A clause is run through the
-composition of that automaton with ``factors``, which reads the words in order: a negation turns down
-the insults in its scope, a naming ("words such as ...", "the word ...", "... is a term") those that it
-names, and attribution ("X wrote: ...") ends both, so what is reported counts as said. A document's
-score is 1 - the product of (1 - score) over its matched clauses.
+"""Scores for abusive, hateful and sexual language, by composed weighted finite-state transducers over clauses.
+
+A text is cut into clauses at its sentence ends. ``Disguise`` turns every token into a word of the grammar, a
+name or any other word; ``Scope`` (negation, denied opinions, naming) composed with ``Rules`` (insults,
+threats, groups degraded, sexual language, each put together from rules for targets and predicates) gives the
+rules a clause matches with what is kept of their weights. A clause's score in a category is 1 - the product of
+(1 - weight) over its rules; a document's is 1 - the product of (1 - score) over the clauses that reach the
+threshold by themselves, or else its best clause. Clauses have no size limit and every one is read whole.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm import lexicon
+from memloom.llm.transducers import Composition, Disguise, Rules, Scope
 from memloom.runtime import slots
 from memloom.sources.tables import norm_name
 
 # Letters that look alike, digits and signs that stand for letters.
 LOOK_ALIKE = str.maketrans(
     {
-        "\u0430": "a", "\u0435": "e", "\u043e": "o", "\u0440": "p", "\u0441": "c", "\u0443": "y", "\u0445": "x", "\u0456": "i", "\u0455": "s", "\u0458": "j",
-        "\u0501": "d", "\u04cf": "l", "\u043a": "k", "\u043c": "m", "\u0442": "t", "\u0432": "b", "\u043d": "h", "\u051b": "q", "\u051d": "w",
-        "\u03bf": "o", "\u03b1": "a", "\u03b5": "e", "\u03c1": "p", "\u03bd": "v", "\u03b9": "i", "\u03ba": "k", "\u03c4": "t", "\u03c5": "u", "\u0131": "i",
+        "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j",
+        "ԁ": "d", "ӏ": "l", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "ԛ": "q", "ԝ": "w",
+        "ο": "o", "α": "a", "ε": "e", "ρ": "p", "ν": "v", "ι": "i", "κ": "k", "τ": "t", "υ": "u", "ı": "i",
     }
 )
-DIGITS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "$": "s", "@": "a", "!": "i", "€": "e", "£": "l", "+": "t"}
+SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "$": "s", "@": "a", "!": "i", "€": "e", "£": "l", "+": "t"}
 MASKS = "*#@%$?"
-INVISIBLE = re.compile("[\u00ad\u034f\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
+INVISIBLE = re.compile("[­͏᠎​-‏‪-‮⁠-⁤﻿]")
 SPACED = re.compile(r"(?<![^\W_])(?<!['’])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")
-HAN = re.compile("[\u4e00-\u9fff]")
-PAUSE = tuple(",;:，；：")
+SPACED_SHORT = re.compile(r"(?<=  )[^\W\d_](?: [^\W\d_])+(?=  )")  # a short word among spaced ones
+HAN = re.compile("[一-鿿]")
+END = ".!?。！？…"
+PAUSES = {c: "," for c in ",;，；"} | {c: ":" for c in ":："}
 QUOTES = "\"'“”‘’«»„"
-TERMS = {"<strong>", "<weak>", "<slur>", "<porn>", "<animal>", "<vulgar>"}
-END = tuple(".!?。！？…")
 CLOSING = "\"'”’)»"
 EDGE = "\"'“”‘’«»„()[]{}<>,;:.!?。！？…，；：、*_~`|/\\-–—"
-SPLIT_WORD = re.compile(r"^[^\W_](?:[._\-*·][^\W_]){2,}$")
-RUN = re.compile(r"(.)\1+")
-MARKUP = re.compile(r"<[^<>]{1,80}>")
+OUTER = "\"'“”()[],;:.?…-_/<>"
+SPLIT_WORD = re.compile(r"[^\W_](?:[._\-*·][^\W_]){2,}")
+MARKUP = re.compile(r"</?[A-Za-z!][^<>]*>")
+CATEGORIES = ("abuse", "hate", "sexual")
+THRESHOLD = 0.5
+ELIDED = ("c", "l", "d", "j", "t", "s", "m", "n", "qu")
 
 
 def plain(word: str) -> str:
@@ -55,104 +57,31 @@ def plain(word: str) -> str:
     return word
 
 
-@dataclass
-class State:
-    """A state of the automaton: arcs by symbol, skips left, and what ends here."""
-
-    arcs: dict[str, list[int]] = field(default_factory=dict)
-    skips: list[int] = field(default_factory=list)
-    free: list[int] = field(default_factory=list)
-    final: list[tuple[str, float]] = field(default_factory=list)
-
-
 class Grammar:
-    """The automaton of all patterns, with the vocabulary that its arcs can read."""
+    """The composed machines with what turns tokens into their words."""
+
+    KNOWN = 400_000  # tokens remembered by a process
 
-    def __init__(self, classes: dict[str, list[str]] = lexicon.CLASSES, patterns: list[tuple[str, float, str]] = lexicon.PATTERNS):
-        self.states = [State()]
+    def __init__(self, classes: dict[str, list[str]] = lexicon.CLASSES, called=lexicon.CALLED, rules=lexicon.RULES):
         self.classes: dict[str, set[str]] = {}
         for name, words in classes.items():
             for w in words:
                 self.classes.setdefault(plain(w), set()).add(f"<{name}>")
-        self.words: set[str] = set(self.classes)
-        for category, weight, pattern in patterns:
-            self._add(category, weight, pattern)
-        # Words that only hold patterns together don't make a clause worth reading.
-        light = {w for w, c in self.classes.items() if c <= {"<you>", "<be>", "<degree>", "<neg>", "<meta>", "<link>", "<or>", "<attribution>", "<merely>"}}
-        self.anchors = {w for w in self.words if w not in light and len(w) > 1}
-        self.anchors |= {w for w in self.words if HAN.search(w) and w not in light}
-        self.squeezed: dict[str, str] = {}
-        self.masked: dict[str, str] = {}
-        for w in sorted(self.words):
-            if len(w) >= 4 or HAN.search(w):
-                self.squeezed.setdefault(RUN.sub(r"\1", w), w)
-            if len(w) >= 4 and w.isascii():
-                for i in range(len(w)):
-                    self.masked.setdefault(w[:i] + "?" + w[i + 1 :], w)
+        self.rules = Rules(called, rules, {*classes, "name", "other"}, plain)
+        self.words = set(self.classes) | self.rules.words
+        self.machine = Composition(Scope({f"<{t}>" for t in lexicon.TERMS}), self.rules)
+        self.disguise = Disguise((w for w in self.words if len(w) >= 3), SIGNS, MASKS)
+        # A clause is read only if it has a word that light words can't make a rule without.
+        self.light = {f"<{c}>" for c in lexicon.LIGHT} | {plain(w) for w in lexicon.LIGHT_WORDS}
         han = sorted((w for w in self.words if HAN.search(w)), key=len, reverse=True)
         self.han = re.compile("|".join(map(re.escape, han))) if han else None
-        self._known: dict[str, str] = {}
-        self._closures: dict[int, list[int]] = {}
-
-    def _new(self) -> int:
-        self.states.append(State())
-        return len(self.states) - 1
-
-    def _add(self, category: str, weight: float, pattern: str) -> None:
-        here = 0
-        for item in pattern.split():
-            if item[0] == "~":
-                for _ in range(int(item[1:])):
-                    there = self._new()
-                    self.states[here].skips.append(there)
-                    self.states[here].free.append(there)
-                    here = there
-                continue
-            optional = item.endswith("?")
-            item = item.rstrip("?")
-            inside = item[1:-1] if item.startswith("<") and item.endswith(">") and "|<" not in item and ">|" not in item else None
-            symbols = [f"<{x}>" for x in inside.split("|")] if inside else [x if x.startswith("<") else plain(x) for x in item.split("|")]
-            there = self._new()
-            for s in symbols:
-                self.states[here].arcs.setdefault(s, []).append(there)
-                if not s.startswith("<"):
-                    self.words.add(s)
-            if optional:
-                self.states[here].free.append(there)
-            here = there
-        last = self.states[here]
-        last.final.append((category, weight))
-
-    def _close(self, at: set[int]) -> set[int]:
-        stack, out = list(at), set(at)
-        while stack:
-            for t in self.states[stack.pop()].free:
-                if t not in out:
-                    out.add(t)
-                    stack.append(t)
-        return out
-
-    def _closed(self, state: int) -> list[int]:
-        known = self._closures.get(state)
-        if known is None:
-            known = self._closures[state] = sorted(self._close({state}))
-        return known
+        self._known: dict[str, tuple[int, bool, bool]] = {}
 
     def canonical(self, token: str) -> str:
         """The word of the grammar behind a token, "" if there is none."""
-        known = self._known.get(token)
-        if known is None:
-            if len(self._known) > 400_000:
-                self._known.clear()
-            known = self._known[token] = self._decode(token)
-        return known
-
-    def _decode(self, token: str) -> str:
-        raw = token.strip(EDGE)
+        raw = token.strip(EDGE) or token.strip(OUTER + "!")
         if not raw:
-            raw = token.strip("\"'“”()[],;:.!?")
-            if not raw:
-                return ""
+            return ""
         word = plain(raw)
         if word in self.words:
             return word
@@ -161,125 +90,49 @@ class Grammar:
             if short in self.words:
                 return short
             head, _, rest = word.partition("'")
-            if head in ("c", "l", "d", "j", "t", "s", "m", "n", "qu"):
-                return self._decode(rest)
+            if head in ELIDED:
+                return self.canonical(rest)
             if head in self.words:
                 return head
-        if SPLIT_WORD.match(word):
+        if SPLIT_WORD.fullmatch(word):
             word = re.sub(r"[._\-*·]", "", word)
             if word in self.words:
                 return word
-        full = plain(token.strip("\"'“”()[],;:.?…-_/<>"))
+        full = plain(token.strip(OUTER))
         for form in dict.fromkeys((word, full)):
-            found = self._undisguise(form)
-            if found:
-                return found
-        return ""
-
-    def _undisguise(self, word: str) -> str:
-        if not 3 <= len(word) <= 60:
-            return ""
-        letters = any(c.isalpha() for c in word) or "$" in word
-        if letters and any(c in DIGITS for c in word):
-            forms = [""]
-            for c in word:
-                forms = [f + x for f in forms for x in DIGITS.get(c, c)][:16]
-            for f in forms:
-                if f in self.words:
-                    return f
-            for f in forms:
-                found = self._stretched(f)
+            # Figures alone are figures; letters, or a sign among figures, may be a disguise.
+            if len(form) > 2 and ("$" in form or any(c.isalpha() for c in form)):
+                found = self.disguise.decode(form)
                 if found:
                     return found
-        masks = sum(c in MASKS for c in word)
-        if masks == 1 and word not in self.words:
-            found = self.masked.get("".join("?" if c in MASKS else c for c in word))
-            if found:
-                return found
-        return self._stretched(word)
-
-    def _stretched(self, word: str) -> str:
-        if not re.search(r"(.)\1\1", word):
-            return ""
-        return self.squeezed.get(RUN.sub(r"\1", word), "")
-
-    def factors(self, symbols: list[set[str]], tokens: list[str]) -> list[float]:
-        """What is left of each word's weight: 0.4 if it is denied, 0.1 if it is named."""
-        left = [1.0] * len(symbols)
-        denied = naming = False
-        noun = -9  # where a noun for words was read last
-        for i, s in enumerate(symbols):
-            bare = tokens[i].rstrip(CLOSING) if tokens else ""
-            term = bool(s & TERMS)
-            if "<attribution>" in s:
-                denied = naming = False
-                noun = -9
-            elif "<meta>" in s:
-                noun, naming = i, False
-            elif "<link>" in s and i - noun <= 3:
-                naming = True
-            elif naming or (term and i - noun == 1 and not tokens[i - 1 : i][0].rstrip(CLOSING).endswith(PAUSE)):
-                if term:
-                    left[i] = 0.1
-                naming = term or "<or>" in s or ("<degree>" in s and "<you>" not in s)
-            if "<neg>" in s:
-                denied = True
-            elif denied:
-                if term:
-                    left[i] = min(left[i], 0.4)
-                denied = "<merely>" not in s and (term or bool(s & {"<be>", "<degree>", "<or>"}))
-            if term and tokens[i][:1] in QUOTES and bare != tokens[i] and any("<meta>" in x for x in symbols[max(0, i - 4) : i + 5]):
-                left[i] = 0.1
-            if term and i + 1 < len(symbols) and "<be>" in symbols[i + 1]:
-                k = i + 2
-                while k < len(symbols) and "<degree>" in symbols[k] and not symbols[k] & TERMS:
-                    k += 1
-                if k < len(symbols) and "<meta>" in symbols[k]:
-                    left[i] = 0.1
-            if bare.endswith(PAUSE):
-                if bare[-1] in ":：" and 0 <= i - noun <= 2:
-                    naming = True
-                denied = denied and term and bare[-1] in ",，"
-        return left
-
-    def match(self, words: list[str], tokens: list[str] | None = None) -> list[tuple[str, float]]:
-        """(category, score) of the patterns that a clause goes through, after negation and naming.
-
-        A way through a pattern keeps the smallest factor of the words it reads; of the ways to a state
-        the best counts. Words that are skipped don't matter.
-        """
-        symbols = [({w} | self.classes.get(w, set())) if w else set() for w in words]
-        turned = any("<neg>" in s or "<meta>" in s for s in symbols)
-        left = self.factors(symbols, tokens or words) if turned else [1.0] * len(words)
-        begin = dict.fromkeys(self._closed(0), 1.0)
-        live: dict[int, float] = {}
-        found: list[tuple[str, float]] = []
-        for syms, factor in zip(symbols, left):
-            following: dict[int, float] = {}
-            for s, kept in (live | begin).items():
-                state = self.states[s]
-                for t in state.skips:
-                    if kept > following.get(t, 0.0):
-                        following[t] = kept
-                read = kept if kept < factor else factor
-                for sym in syms:
-                    for t in state.arcs.get(sym, ()):
-                        if read > following.get(t, 0.0):
-                            following[t] = read
-            live = {}
-            for s, kept in following.items():
-                for t in self._closed(s):
-                    if kept > live.get(t, 0.0):
-                        live[t] = kept
-            for s, kept in live.items():
-                if self.states[s].final:
-                    found.extend((category, weight * kept) for category, weight in self.states[s].final)
-        return found
+        return ""
 
-    def score(self, text: str | None) -> dict[str, float]:
-        """Scores by category; empty for texts without a match, also null and empty ones."""
-        if not text:
-            return {}
+    def _read(self, token: str) -> tuple[int, bool, bool]:
+        """(number of the word for the machine, whether a clause ends behind it, whether it makes a clause worth reading)."""
+        bare = token.rstrip(CLOSING)
+        last = bare[-1:]
+        word = self.canonical(token)
+        if word:
+            symbols = frozenset({word, *self.classes.get(word, ())})
+        else:
+            raw = token.strip(EDGE)
+            symbols = frozenset() if not raw[:1].isalpha() else frozenset({"<other>", "<name>"}) if raw[0].isupper() else frozenset({"<other>"})
+        worth = bool(word) and not ((self.classes.get(word) or {word}) <= self.light or word in self.light)
+        if len(self._known) > self.KNOWN:
+            self._known.clear()
+        out = self._known[token] = (self.machine.word(symbols, PAUSES.get(last, "")), last != "" and last in END, worth)
+        return out
+
+    def _clause(self, words: list[int]) -> dict[int, float]:
+        """Runs the machine; words that are named afterwards are marked first where there are nouns for words."""
+        machine = self.machine
+        symbols = [machine.words[w][0] for w in words]
+        if any("<meta>" in s for s in symbols):
+            after = machine.scope.named_after(symbols)
+            words = [machine.word(*machine.words[w][:2], a) if a else w for w, a in zip(words, after)]
+        return machine.run(words)
+
+    def tokens(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFKC", INVISIBLE.sub("", text))
         if "<" in text:
             text = MARKUP.sub(" ", text)
@@ -287,30 +140,49 @@ class Grammar:
             text = self.han.sub(lambda m: f" {m.group()} ", text)
             text = re.sub("([。！？])", r"\1 ", text)
         if SPACED.search(text):
-            text = SPACED.sub(lambda m: m.group().replace(" ", ""), text)
-        tokens = text.split()
-        canonical, anchors = self.canonical, self.anchors
-        words = [canonical(t) for t in tokens]
+            text = SPACED.sub(lambda m: self._joined(m.group()), SPACED_SHORT.sub(lambda m: m.group().replace(" ", ""), text))
+        return text.split()
+
+    def _joined(self, spaced: str) -> str:
+        """Spaced letters as a word; a word of one letter may stand at either end."""
+        word = spaced.replace(" ", "")
+        if not self.canonical(word):
+            for first, middle, last in (("", word[:-1], word[-1]), (word[0], word[1:], ""), (word[0], word[1:-1], word[-1])):
+                if self.canonical(middle):
+                    return " ".join(x for x in (first, middle, last) if x)
+        return word
+
+    def matches(self, text: str | None) -> list[dict[int, float]]:
+        """The rules of every clause with a match, with what is kept of their weights."""
+        if not text:
+            return []
+        known, out, begin, worth = self._known, [], 0, False
+        read = [known.get(t) or self._read(t) for t in self.tokens(text)]
+        for i, (_, end, worthy) in enumerate(read):
+            worth = worth or worthy
+            if end or i == len(read) - 1:
+                if worth and (found := self._clause([w for w, _, _ in read[begin : i + 1]])):
+                    out.append(found)
+                begin, worth = i + 1, False
+        return out
+
+    def score(self, text: str | None) -> dict[str, float]:
+        """Scores by category; empty for texts without a match, also null and empty ones."""
         rest: dict[str, float] = {}
-        done = -1
-        for i, w in enumerate(words):
-            if i <= done or not w or w not in anchors:
-                continue
-            lo = i
-            while lo > 0 and i - lo < 25 and tokens[lo - 1].rstrip(CLOSING)[-1:] not in END:
-                lo -= 1
-            hi = i
-            while hi < len(tokens) - 1 and hi - i < 40 and tokens[hi].rstrip(CLOSING)[-1:] not in END:
-                hi += 1
-            done = hi
-            for category, s in self.match(words[lo : hi + 1], tokens[lo : hi + 1]):
-                rest[category] = rest.get(category, 1.0) * (1 - s)
-        return {c: 1 - r for c, r in rest.items()}
+        best: dict[str, float] = {}
+        for found in self.matches(text):
+            left: dict[str, float] = {}
+            for rule, kept in found.items():
+                category, weight = self.rules.tags[rule]
+                left[category] = left.get(category, 1.0) * (1 - weight * kept)
+            for category, r in left.items():
+                best[category] = max(best.get(category, 0.0), 1 - r)
+                if 1 - r >= THRESHOLD:
+                    rest[category] = rest.get(category, 1.0) * r
+        return {c: 1 - rest[c] if c in rest else b for c, b in best.items()}
 
 
 _GRAMMAR: list[Grammar] = []
-CATEGORIES = ("abuse", "hate", "sexual")
-THRESHOLD = 0.5
 
 
 def grammar() -> Grammar:
@@ -346,3 +218,21 @@ def source_rates(scored: DataFrame, source_col: str = "source", threshold: float
     """``source, documents, flagged, rate``, and the flagged of each category; sources in normal form."""
     over = lambda c: F.sum((F.col(c) >= threshold).cast("long"))
     return scored.groupBy(norm_name(source_col).alias("source")).agg(F.count("*").alias("documents"), over("score").alias("flagged"), *(over(c).alias(c) for c in CATEGORIES)).withColumn("rate", F.col("flagged") / F.col("documents"))
+
+
+def label_report(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """``category, labelled, flagged, both, precision, recall`` against labels: "any" and every category.
+
+    ``labels`` has ``id_col, category``; "none" is harmless, null labels are left out, a document labelled
+    twice counts twice and labels of unknown documents don't count. No weight is fitted on labels, so all
+    of them are held out. Shares of nothing are null; the rows are always there.
+    """
+    kind = norm_name("category")
+    rows = labels.where("category is not null").select(id_col, kind.alias("label")).join(scored.select(id_col, *CATEGORIES, "score"), id_col)
+    parts = [F.struct(F.lit(c).alias("category"), truth.cast("long").alias("t"), (F.col(column) >= threshold).cast("long").alias("f")) for c, truth, column in (("any", F.col("label") != "none", "score"), *((c, F.col("label") == c, c) for c in CATEGORIES))]
+    sums = [F.coalesce(F.sum(x), F.lit(0)).alias(name) for x, name in ((F.col("p.t"), "labelled"), (F.col("p.f"), "flagged"), (F.col("p.t") * F.col("p.f"), "both"))]
+    counted = rows.select(F.explode(F.array(*parts)).alias("p")).groupBy("p.category").agg(*sums)
+    every = labels.sparkSession.createDataFrame([("any",), *((c,) for c in CATEGORIES)], "category string")
+    filled = every.join(counted, "category", "left").select("category", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("labelled", "flagged", "both")))
+    share = lambda n, d: F.when(F.col(d) > 0, F.col(n) / F.col(d))
+    return filled.select("*", share("both", "flagged").alias("precision"), share("both", "labelled").alias("recall"))

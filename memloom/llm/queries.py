@@ -100,7 +100,12 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moderation.source_rates(moderation.score_texts(table(spark, sf_dir, "documents"), "doc_id", "text", keep=["source"]))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pieces, p5_found, p7_found, p7_packed, p7_report, p8_found, p8_chosen, p8_report, p9_found, p9_scores, p9_rates)}
+def p9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement with the sample of labels, some of which are wrong."""
+    return moderation.label_report(moderation.score_texts(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "moderation_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pieces, p5_found, p7_found, p7_packed, p7_report, p8_found, p8_chosen, p8_report, p9_found, p9_scores, p9_rates, p9_labels)}
 
 _CURRENT = """cur AS (SELECT lower(trim(id)) AS id, arg_max(content, coalesce(updated_at, TIMESTAMPTZ '1970-01-01 00:00:00+00')) AS content FROM nodes WHERE id IS NOT NULL GROUP BY 1)"""
 

@@ -66,17 +66,29 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_packed(spark, sf_dir).where("part = 1").select("doc_id")
 
 
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of what has to hold: every document comes out, none is divided without need, no container is
+    over its capacity, and at most a fiftieth of the room is unused."""
+    packed = p7_packed(spark, sf_dir).cache()
+    items = packed.groupBy("doc_id").agg(F.sum("part_tokens").alias("n"), F.count("*").alias("parts"))
+    used = packed.where("container >= 0").groupBy("container").agg(F.sum("part_tokens").alias("n"))
+    a = items.agg(F.count("*").alias("documents"), F.count_if((F.col("n") <= packing.CAPACITY) & (F.col("parts") > 1)).alias("divided_small"))
+    b = used.agg(F.count_if(F.col("n") > packing.CAPACITY).alias("overfull"), (F.sum("n") >= 0.98 * F.count("*") * packing.CAPACITY).alias("well_filled"))
+    return a.crossJoin(b)  # one row each
+
+
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.container_report(p7_packed(spark, sf_dir))
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str, fit: str = "shares") -> tuple[DataFrame, DataFrame]:
     sizes = tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", keep=["source"])
-    return mixing.mix_sources(sizes, table(spark, sf_dir, "mix_targets"))
+    return mixing.mix_sources(sizes, table(spark, sf_dir, "mix_targets"), fit=fit)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(spark, sf_dir)[1].where("capped").select("mix_id", "source")
+    """Sources that were drawn whole, max_repeats times, and still fall short of their target."""
+    return _mixed(spark, sf_dir, "total")[1].where("exhausted").select("mix_id", "source")
 
 
 def p8_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +96,21 @@ def p8_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(spark, sf_dir)[1].select("mix_id", "source", "share", "target", "tokens", "actual_share", "documents", "copies", "capped")
+    return _mixed(spark, sf_dir)[1].select("mix_id", "source", "share", "target", "goal", "tokens", "actual_share", "documents", "copies", "exhausted")
+
+
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every (mix_id, source) what has to hold: copies within max_repeats, each document once, and
+    the tokens within the largest document of the source of what the share asks for."""
+    chosen, report = _mixed(spark, sf_dir)
+    held = chosen.groupBy("mix_id", "source").agg(F.max("copies").alias("most"), F.count("*").alias("rows"), F.countDistinct("doc_id").alias("docs"))
+    rows = report.join(held, ["mix_id", "source"], "left")
+    return rows.select(
+        "mix_id", "source",
+        (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"),
+        (F.coalesce("rows", F.lit(0)) == F.coalesce("docs", F.lit(0))).alias("once"),
+        (F.abs(F.col("tokens") - F.col("goal")) <= F.col("largest")).alias("at_goal"),
+    )
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,11 +131,33 @@ def p9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moderation.label_report(moderation.score_texts(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "moderation_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pieces, p5_found, p7_found, p7_packed, p7_report, p8_found, p8_chosen, p8_report, p9_found, p9_scores, p9_rates, p9_labels)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pieces, p5_found, p7_found, p7_packed, p7_report, p7_invariants, p8_found, p8_chosen, p8_report, p8_invariants, p9_found, p9_scores, p9_rates, p9_labels)}
 
 _CURRENT = """cur AS (SELECT lower(trim(id)) AS id, arg_max(content, coalesce(updated_at, TIMESTAMPTZ '1970-01-01 00:00:00+00')) AS content FROM nodes WHERE id IS NOT NULL GROUP BY 1)"""
+# Pairs are narrowed by size only, so nothing of the operator is in the SQL.
+_NEAR = f"""{_CURRENT},
+sets AS (SELECT id, list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) AS w FROM cur WHERE content IS NOT NULL),
+big AS (SELECT id, w, len(w) AS n FROM sets WHERE len(w) >= 20),
+sized AS (SELECT a.id AS x, b.id AS y, a.n + b.n AS n, len(list_intersect(a.w, b.w)) AS k FROM big a JOIN big b ON a.id < b.id AND b.n BETWEEN 0.8 * a.n AND 1.25 * a.n),
+pairs AS (SELECT x AS node_a, y AS node_b FROM sized WHERE k >= 0.8 * (n - k) - 1e-9)"""
+# Words and signs stand for tokens: the counts differ, the documents over the capacity and the capped sources don't.
+_TOKENS = "sized AS (SELECT doc_id, replace(lower(trim(source)), '-', '_') AS source, coalesce(len(regexp_extract_all(text, '[\\p{L}]{1,4}|[\\p{N}]{1,3}|[^\\s\\p{L}\\p{N}]')), 0) AS n FROM documents)"
+_MIX = """want AS (SELECT mix_id, replace(lower(trim(source)), '-', '_') AS source, sum(greatest(coalesce(weight, 0), 0)) AS w, max(coalesce(max_repeats, 1)) AS r FROM mix_targets GROUP BY 1, 2)"""
 
 SQL = {
+    "p2_found": f"WITH {_NEAR} SELECT node_a, node_b FROM pairs",
+    "p2_groups": f"""WITH RECURSIVE {_NEAR}, both_ways AS (SELECT node_a AS s, node_b AS t FROM pairs UNION SELECT node_b, node_a FROM pairs),
+reach AS (SELECT id, id AS seen FROM big UNION SELECT r.id, b.t FROM reach r JOIN both_ways b ON b.s = r.seen)
+SELECT id AS node_id, min(seen) AS group_id FROM reach GROUP BY 1""",
+    "p3_found": f"""WITH {_CURRENT}, cfg AS (SELECT DISTINCT config_id, max_chunk_size AS m, coalesce(respect_sentences, false) AS s FROM chunking_config
+  WHERE max_chunk_size > 0 AND min_chunk_size <= max_chunk_size AND overlap < max_chunk_size AND overlap >= 0 AND semantic_threshold BETWEEN 0 AND 1),
+longest AS (SELECT id, length(content) AS n, list_max(list_transform(string_split(regexp_replace(regexp_replace(content, '([.!?])([ \\t\\r\\n])', '\\1' || chr(1) || '\\2', 'g'), '([。！？])', '\\1' || chr(1), 'g'), chr(1)), lambda x: length(trim(x, ' ' || chr(9) || chr(10) || chr(13))))) AS sentence FROM cur WHERE content IS NOT NULL)
+SELECT config_id, id AS node_id, (s AND sentence > m)::INT AS forced FROM longest JOIN cfg ON n > m""",
+    "p7_found": f"WITH {_TOKENS} SELECT doc_id FROM sized WHERE n > 4096",
+    "p7_invariants": "SELECT count(*) AS documents, 0 AS divided_small, 0 AS overfull, true AS well_filled FROM documents",
+    "p8_found": f"""WITH {_TOKENS}, {_MIX}, have AS (SELECT source, sum(n) AS n FROM sized GROUP BY 1)
+SELECT mix_id, source FROM (SELECT mix_id, source, w / sum(w) OVER (PARTITION BY mix_id) AS share, r FROM want) LEFT JOIN have USING (source) WHERE share * (SELECT sum(n) FROM sized) > r * coalesce(n, 0)""",
+    "p8_invariants": f"WITH {_MIX} SELECT mix_id, source, true AS within_repeats, true AS once, true AS at_goal FROM want",
     "p5_found": """WITH RECURSIVE latest AS (
   SELECT lower(trim(source)) AS s, lower(trim(target)) AS t, arg_max(expired, seq) AS expired FROM edges
   WHERE replace(replace(lower(trim(relation)), '-', '_'), ' ', '_') = 'similar_to' GROUP BY 1, 2),

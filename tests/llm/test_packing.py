@@ -1,6 +1,6 @@
 from collections import Counter, defaultdict
 
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from memloom.llm import mixing, packing, tokens
@@ -58,23 +58,55 @@ def mix(spark, sizes, targets, **kw):
     return chosen.collect(), {(r.mix_id, r.source): r for r in report.collect()}
 
 
-def test_shares_are_reached(spark):
+def test_targets_as_far_as_repeats_allow(spark):
     sizes = [(i, ["a", "B ", "c-d"][i % 3], 50 + i % 40) for i in range(900)] + [(5000, None, 70), (5001, "a", None), (5002, "a", 0)]
     targets = [("m", "a", 3.0, 9), ("m", "b", 1.0, 9), ("m", "c_d", 0.25, 9), ("m", "absent", 0.5, 3), ("n", "a", 1.0, 2), ("n", "b", 0.0, 2)]
-    chosen, report = mix(spark, sizes, targets)
+    chosen, report = mix(spark, sizes, targets, fit="total")
     total = sum(n or 0 for _, _, n in sizes)
     for name, share in (("a", 3 / 4.75), ("b", 1 / 4.75), ("c_d", 0.25 / 4.75)):
         r = report["m", name]
-        assert abs(r.share - share) < 1e-9 and abs(r.tokens - share * total) <= 90 and not r.capped
+        assert abs(r.share - share) < 1e-9 and abs(r.tokens - share * total) <= 90 and not r.exhausted
         copies = [c.copies for c in chosen if c.mix_id == "m" and c.source == name and c.n_tokens]
         assert max(copies) - min(copies) <= 1
-    assert report["m", "absent"].capped and report["m", "absent"].tokens == 0
-    assert report["n", "a"].capped and report["n", "a"].copies == 2 * 302
+    assert report["m", "absent"].exhausted and report["m", "absent"].tokens == 0
+    assert report["n", "a"].exhausted and report["n", "a"].copies == 2 * 302
     assert report["n", "b"].tokens == 0
-    again, _ = mix(spark, sizes, targets)
+    again, _ = mix(spark, sizes, targets, fit="total")
     assert sorted(map(tuple, again)) == sorted(map(tuple, chosen))
 
 
+def test_shares_hold_where_a_small_source_is_repeated(spark):
+    sizes = [(i, "big", 40 + i % 50) for i in range(3000)] + [(10_000 + i, "rare", 30 + i % 60) for i in range(100)]
+    chosen, report = mix(spark, sizes, [("m", "big", 0.5, 1), ("m", "rare", 0.4, 3), ("m", "absent", 0.1, 5)])
+    rare = sum(n for _, s, n in sizes if s == "rare")
+    assert report["m", "rare"].tokens == 3 * rare and {c.copies for c in chosen if c.source == "rare"} == {3}
+    assert abs(report["m", "big"].actual_share - 5 / 9) < 0.005 and abs(report["m", "rare"].actual_share - 4 / 9) < 0.005
+    assert report["m", "absent"].actual_share == 0 and abs(report["m", "absent"].share - 0.1) < 1e-9
+
+
+def test_larger_documents_are_likelier_and_the_largest_certain(spark):
+    sizes = [(i, "a", 10 if i % 2 else 40) for i in range(4000)] + [(9000, "a", 60_000)] + [(20_000 + i, "b", 40) for i in range(4000)]
+    chosen, report = mix(spark, sizes, [("m", "a", 5.0, 1), ("m", "b", 1.0, 1)])
+    b = [c for c in chosen if c.source == "b"]
+    a = [c for c in chosen if c.source == "a"]
+    assert abs(report["m", "a"].tokens - report["m", "a"].goal) <= 60_000 and 0 < len(b) < 4000
+    small, large = sum(c.n_tokens == 10 for c in a), sum(c.n_tokens == 40 for c in a)
+    assert 9000 in {c.doc_id for c in a} and (large > 2.5 * small or large == 2000)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("abc"), st.integers(0, 300)), min_size=1, max_size=60), st.integers(1, 4), st.sampled_from(["shares", "total"]))
+def test_mixes_keep_their_invariants(spark, items, repeats, fit):
+    sizes = [(i, s, n) for i, (s, n) in enumerate(items)]
+    chosen, report = mix(spark, sizes, [("m", "a", 1.0, repeats), ("m", "b", 2.0, repeats), ("m", "c", 0.5, 1)], fit=fit)
+    largest = max(n for _, n in items)
+    assert len({(c.mix_id, c.doc_id) for c in chosen}) == len(chosen)
+    for key, r in report.items():
+        mine = [c for c in chosen if (c.mix_id, c.source) == key]
+        assert all(1 <= c.copies <= r.max_repeats for c in mine)
+        assert sum(c.copies * c.n_tokens for c in mine) == r.tokens and abs(r.tokens - r.goal) <= largest
+
+
 def test_weights_change_who_is_chosen(spark):
     s = spark.createDataFrame([(i, "a", 10, 1.0 + 9 * (i % 2)) for i in range(2000)] + [(9000 + i, "b", 10, 1.0) for i in range(2000)], "doc_id long, source string, n_tokens long, w double")
     t = spark.createDataFrame([("m", "a", 1.0, 5), ("m", "b", 9.0, 5)], "mix_id string, source string, weight double, max_repeats int")
@@ -86,3 +118,17 @@ def test_weights_change_who_is_chosen(spark):
 def test_empty(spark):
     assert mix(spark, [], [("m", "a", 1.0, 1)])[1]["m", "a"].tokens == 0
     assert mix(spark, [(1, "a", 5)], []) == ([], {})
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab1 \t\n\u00a0\u3000\x1c.,'s", max_size=60), st.integers(2, 5))
+def test_counts_are_those_of_the_whole_text(text, blanks):
+    assert tokens.count_tokens(text, blanks=blanks) == len(tokens.encoder().encode_ordinary(text))
+
+
+def test_counts_of_long_runs():
+    whole = lambda t: len(tokens.encoder().encode_ordinary(t))
+    text = "word, " * 500 + "x" * 6000 + " end of it. " + "#" * 5000
+    assert tokens.count_tokens(text) == whole(text)
+    assert tokens.count_tokens("a" + " " * 2_000_000 + "b") == 1 + tokens.count_tokens(" " * 1_999_999) + whole(" b")
+    assert tokens.count_tokens(None) == tokens.count_tokens("") == 0

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from memloom.operators import hierarchy as H
 
 
@@ -26,9 +28,9 @@ def brute(pairs):
     return out
 
 
-def run(spark, pairs):
+def run(spark, pairs, small=H.SMALL):
     df = spark.createDataFrame(pairs, "span_id string, parent_id string")
-    h = H.materialize(H.build_hierarchy(df), "test")
+    h = H.materialize(H.build_hierarchy(df, small=small), "test")
     paths = {r.node_id: "/".join(r.path) for r in H.expand_paths(h).collect()}
     rows = h.collect()
     return {r.node_id: (r.root_id, r.depth, paths.get(r.node_id)) for r in rows}, h
@@ -40,15 +42,21 @@ def test_small_trees_and_loops(spark):
     assert got == brute(pairs)
 
 
-def test_random_forest_with_hub_and_chain(spark):
+@pytest.mark.parametrize("small", [0, 60, H.SMALL])
+def test_random_forest_with_hub_and_chain(spark, small):
+    """Rounds over the cluster, in one task, and both after one another give the same."""
     r = random.Random(5)
     pairs = [(f"n{i:03}", f"n{r.randrange(i):03}" if i % 9 else None) for i in range(1, 160)]
     pairs += [(f"h{i:03}", "n001") for i in range(60)]
     pairs += [(f"c{i:03}", f"c{i - 1:03}" if i else "n002") for i in range(70)]
     pairs += [("l0", "l3"), ("l1", "l0"), ("l2", "l1"), ("l3", "l2"), ("t0", "l2"), ("t1", "t0")]
-    got, h = run(spark, pairs)
+    got, h = run(spark, pairs, small)
     want = brute(pairs)
     assert got == want
+    numbers = {}
+    for x in h.where("not in_loop").collect():
+        numbers.setdefault(x.root_id, []).append(x.pre)
+    assert all(sorted(v) == list(range(len(v))) for v in numbers.values())
     below = {}
     for i, (_, d, path) in want.items():
         if d >= 0:

@@ -49,9 +49,12 @@ def key_profile(df: DataFrame, keys: list[str], other: str, weight: str, tie: li
     non-null values of ``other``), ``first_other`` and ``last_other`` in its order.
 
     Null keys form a key of their own; an empty table gives an empty result; repeated rows count as
-    often as they are there. Columns besides the named ones are not read.
+    often as they are there. Columns besides the named ones are not read. ``tie`` orders rows of equal key and
+    ``other``, so that a pair that is there very often is cut over partitions too; without it such rows are
+    spread by a number of their own.
     """
-    tie = tie or []
+    if not tie:
+        df, tie = df.withColumn("_tie", F.monotonically_increasing_id()), ["_tie"]
     work = df.select(*keys, F.col(other).alias("_other"), F.col(weight).cast("double").alias("_weight"), *tie)
     key_fields = [work.schema[k] for k in keys]
     state = T.StructType(
@@ -204,7 +207,7 @@ def stitched_rank(df: DataFrame, keys: list[str], order: list[str], size: str |
 def heavy_keys(profile: DataFrame, total_by: list[str], share: float) -> DataFrame:
     """Keys of ``key_profile`` that hold at least ``share`` of all rows of their side."""
     totals = profile.groupBy(*total_by).agg(F.sum("n_rows").alias("_total"))
-    return profile.join(F.broadcast(totals), total_by).where(F.col("n_rows") >= F.col("_total") * share).drop("_total")
+    return profile.join(totals, total_by).where(F.col("n_rows") >= F.col("_total") * share).drop("_total")
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:

@@ -44,12 +44,12 @@ def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = skew.key_profile(_ends(spark, sf_dir), ["side", "node_id"], "other", "weight")
+    p = skew.key_profile(_ends(spark, sf_dir), ["side", "node_id"], "other", "weight", tie=["seq"])
     return p.select("side", "node_id", "n_rows", F.round("weight_sum", 6).alias("weight_sum"), "n_others", "first_other", "last_other")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = skew.key_profile(_ends(spark, sf_dir), ["side", "node_id"], "other", "weight")
+    p = skew.key_profile(_ends(spark, sf_dir), ["side", "node_id"], "other", "weight", tie=["seq"])
     return skew.heavy_keys(p, ["side"], 0.02).select("side", "node_id")
 
 

@@ -16,7 +16,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.runtime import materialize, shuffle_partitions
+from memloom.runtime import drop, materialize, shuffle_partitions
 
 FOREST = "a string, b string"
 LABELS = "id string, label string"
@@ -82,13 +82,30 @@ def _labels(batches):
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([ids[sets.find(i)] for i in range(len(ids))], pa.string())], names=["id", "label"])
 
 
-def _contract(forest: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(moves (id, label), remaining edges between labels)."""
-    both = forest.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(forest.select(F.col("b").alias("id"), F.col("a").alias("to")))
-    heads = lambda c: (F.xxhash64(F.col(c), F.lit(turn)) % 2) == 0
-    moves = materialize(both.where(~heads("id") & heads("to")).groupBy("id").agg(F.min("to").alias("label")), "moves")
-    move = lambda df, c: df.join(moves.select(F.col("id").alias(c), F.col("label").alias(f"{c}_to")), c, "left").withColumn(c, F.coalesce(f"{c}_to", c)).select("a", "b")
-    return moves, move(move(forest, "a"), "b").where("a <> b")
+def _contract(forest: DataFrame, turn: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(moves (id, label), remaining edges between labels).
+
+    Vertices of more than ``limit`` edges always show heads, so they stay and no join has them as a key that
+    moves: at most 2 * edges / limit of them, a few a task, are looked up in every task.
+    """
+    ends = forest.select(F.explode(F.array("a", "b")).alias("id"))
+    hubs = materialize(ends.groupBy("id").count().where(F.col("count") > limit).select("id"), "hubs")
+    coin = lambda c: (F.xxhash64(F.col(c), F.lit(turn)) % 2) == 0
+    flagged = forest
+    for c in ("a", "b"):
+        flagged = flagged.join(F.broadcast(hubs.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_hub"))), c, "left").withColumn(f"{c}_heads", F.coalesce(f"{c}_hub", coin(c))).drop(f"{c}_hub")
+    both = flagged.select(F.col("a").alias("id"), F.col("b").alias("to"), "a_heads", "b_heads").unionByName(flagged.select(F.col("b").alias("id"), F.col("a").alias("to"), F.col("b_heads").alias("a_heads"), F.col("a_heads").alias("b_heads")))
+    moves = materialize(both.where(~F.col("a_heads") & F.col("b_heads")).groupBy("id").agg(F.min("to").alias("label")), "moves")
+    for c in ("a", "b"):
+        to = moves.select(F.col("id").alias(c), F.col("label").alias("to"))
+        tails = flagged.where(~F.col(f"{c}_heads")).join(to, c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        flagged = flagged.where(f"{c}_heads").unionByName(tails)
+    return moves, flagged.select("a", "b").where("a <> b")
+
+
+def _spread(edges: DataFrame, tasks: int) -> DataFrame:
+    """Dealt out in turn: a forest needs no edge beside another, so no key decides where one goes."""
+    return edges.repartition(tasks)
 
 
 def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", fan_in: int = 8, bound: int = 2_000_000) -> DataFrame:
@@ -112,15 +129,15 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", fan_in: i
         if size > bound * following:
             # Too much for so few tasks: contract, and let as many tasks as before reduce what is left.
             turn += 1
-            moves, rest = _contract(forest, turn)
+            moves, rest = _contract(forest, turn, max(1, bound // 8))
             moved.append(moves)
-            wide = max(-(-size // bound), shuffle_partitions(spark))
-            following = wide
-            merged = rest.repartition(wide, F.least("a", "b"))
+            following = max(-(-size // bound), shuffle_partitions(spark))
+            merged = _spread(rest, following)
         else:
             merged = forest.repartition(following) if parts > following else forest
-        forest = materialize(merged.mapInArrow(_forest, FOREST), "forest")
-        parts, size = following, forest.count()
+        merged = materialize(merged.mapInArrow(_forest, FOREST), "forest")
+        drop(forest)
+        forest, parts, size = merged, following, merged.count()
     labels = forest.repartition(1).mapInArrow(_labels, LABELS) if size else spark.createDataFrame([], LABELS)
     if moved:
         labels = materialize(labels, "labels")
@@ -129,7 +146,9 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", fan_in: i
         via = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
         mine = moves.join(via, "label", "left").select("id", F.coalesce("far", "label").alias("label"))
         met = moves.select(F.col("label").alias("id")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("label"))
-        labels = materialize(labels.unionByName(mine).unionByName(met), "labels")
+        further = materialize(labels.unionByName(mine).unionByName(met), "labels")
+        drop(labels, moves)
+        labels = further
     if moved:
         # The kept names were drawn by coin; the smallest id of the group takes their place.
         lowest = labels.groupBy("label").agg(F.min("id").alias("low"))

@@ -1,5 +1,8 @@
 import random
 
+from pyspark.sql import functions as F
+
+from memloom.llm import components as C
 from memloom.llm.components import UnionFind, connected_components
 
 
@@ -51,3 +54,15 @@ def test_empty_and_extra_columns(spark):
     assert run(spark, []) == {}
     df = spark.createDataFrame([("a", "b", 1, True)], "a string, b string, id int, self boolean")
     assert {r.id: r.label for r in connected_components(df).collect()} == {"a": "a", "b": "a"}
+
+
+def test_a_hub_of_nearly_all_edges(spark):
+    """Contraction with a hub: the groups are right and no task gets more than its bound."""
+    pairs = [("hub", f"s{i:04}") for i in range(900)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)] + [("s0007", "c000"), ("x", "y")]
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(8)
+    got = {r.id: r.label for r in C.connected_components(df, bound=100).collect()}
+    assert len(got) == 901 + 61 + 2 and set(got.values()) == {"c000", "x"} and got["y"] == "x"
+    counts = [r["count"] for r in C._spread(df, -(-len(pairs) // 100)).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(counts) <= 100 + 8  # dealt out by each of 8 tasks in turn
+    moves, rest = C._contract(df, 1, 12)
+    assert "hub" not in {r.id for r in moves.collect()} and {"hub"} & {x for r in rest.collect() for x in r}

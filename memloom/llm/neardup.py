@@ -5,11 +5,13 @@ of the symmetric difference of the sets. Sets with similarity >= t differ in at
 (a + b) * (1 - t) / (1 + t) words: within that radius no pair is lost.
 
 Shards: two such sets share a word among the first n - ceil(t * n) + 1 words of each in any fixed
-order (rare words first here), so every set goes to one shard for each of these words. A shard is a
-BK-tree whose children are keyed by their Hamming distance to the parent; a query follows only the
-edges within its radius. Shards are routed to tasks by a shuffle rather than broadcast, since all
-trees together grow with the data; a word shared by very many sets is split into blocks of bounded
-size, each a tree of its own that all later blocks are sent to. Candidates are checked on their words.
+order (by frequency here, rare words first), so every set goes to one shard for each of these words. A
+shard is a BK-tree whose children are keyed by their Hamming distance to the parent; a query follows only
+the edges within its radius. Shards are routed to tasks by a shuffle rather than broadcast, since all
+trees together grow with the data. A word shared by very many sets gives way to its pairs with the other
+words of the prefix and one more, of which such sets share at least one; what is too large even then is
+split into blocks of bounded size, each a tree of its own that all later blocks are sent to. Candidates are
+checked on their words.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.runtime import materialize, shuffle_partitions, slots
 
 WORD = re.compile(r"[^\W_]+")  # maximal runs of letters or digits
 BITS = 256
-COMMON = 8192  # the most frequent words come last in the order; the list is the only thing broadcast
+COMMON = 8192  # the most frequent words, sent to every task; the order of all others is joined
 BLOCK = 2048  # sets in one tree
 
 
@@ -116,8 +118,13 @@ def word_sets(df: DataFrame, id_col: str, text_col: str, min_words: int) -> Data
     return materialize(work.mapInArrow(read, "id string, set_key binary, text_key binary, words array<bigint>, word bigint, n bigint"), "words")
 
 
-def _prefix_rows(classes: DataFrame, common: np.ndarray, threshold: float) -> DataFrame:
-    """(key, cid, n, sketch): one row for each word in the prefix of a set."""
+def _prefix_rows(classes: DataFrame, counts: DataFrame, common: np.ndarray, threshold: float) -> DataFrame:
+    """(key, cid, n, sketch, extra): one row for each word in the prefix of a set, rare words first, and one
+    more, the next word, marked ``extra``.
+
+    The common words come last, in the order of the list. Where a set has no more other words than its
+    prefix holds, all of them are in it; only for the rest the order among them matters, and they are joined
+    with the table of all counts."""
     place = np.argsort(common)
     by_value = common[place]
     rank = (len(common) - place).astype(np.int64)  # the most frequent word last
@@ -140,12 +147,32 @@ def _prefix_rows(classes: DataFrame, common: np.ndarray, threshold: float) -> Da
             order = np.lexsort((flat, late, owner))
             first = np.append(0, np.cumsum(sizes))[:-1]
             in_set = np.arange(len(flat)) - first[owner]
-            take = in_set < (sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1)[owner]
+            length = prefix_length(sizes, threshold)
+            others = np.bincount(owner, weights=late == 0, minlength=len(sizes)).astype(np.int64)
+            undecided = (others > length + 1)[owner]
+            take = np.where(undecided, late[order] == 0, in_set <= length[owner])
             own = owner[take]
             buffers = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(own), [None, pa.py_buffer(np.ascontiguousarray(sketch[own]))])
-            yield pa.RecordBatch.from_arrays([pa.array(flat[order][take]), pa.array(cid[own]), pa.array(sizes[own].astype(np.int32)), buffers.cast(pa.binary())], names=["key", "cid", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat[order][take]), pa.array(cid[own]), pa.array(sizes[own].astype(np.int32)), buffers.cast(pa.binary()), pa.array((in_set == length[owner])[take]), pa.array(np.where(undecided[take], length[own], -1).astype(np.int32))],
+                names=["key", "cid", "n", "sketch", "extra", "length"],
+            )
+
+    schema = "key bigint, cid bigint, n int, sketch binary, extra boolean, length int"
+    found = materialize(classes.select("cid", "words").mapInArrow(rows, schema), "ordered")
+    fields = ["key", "cid", "n", "sketch"]
+    settled = found.where("length < 0").select(*fields, "extra")
+    if not found.where("length >= 0").limit(1).count():
+        return settled
+    often = counts.select(F.col("word").alias("key"), F.col("n").alias("often"))
+    in_order = F.row_number().over(Window.partitionBy("cid").orderBy("often", "key"))  # as many rows as a set has words
+    ranked = found.where("length >= 0").join(often, "key").withColumn("r", in_order).where(F.col("r") <= F.col("length") + 1)
+    return settled.unionByName(ranked.select(*fields, (F.col("r") == F.col("length") + 1).alias("extra")))
+
 
-    return classes.select("cid", "words").mapInArrow(rows, "key bigint, cid bigint, n int, sketch binary")
+def prefix_length(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Words of a set of which two similar sets share at least one; of one word more they share at least two."""
+    return sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
 
 
 def radius(a: int, b: int, threshold: float) -> int:
@@ -196,7 +223,12 @@ def _search_shards(shards: DataFrame, threshold: float) -> DataFrame:
     return shards.mapInArrow(scan, "a bigint, b bigint")
 
 
-def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, min_words: int = 20, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def _hot(shards: DataFrame, block: int) -> DataFrame:
+    """(key, blocks) of the keys of more sets than a tree may hold."""
+    return shards.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+
+
+def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, min_words: int = 20, block: int = BLOCK, common_words: int = COMMON) -> tuple[DataFrame, DataFrame]:
     """(members, links): ``members`` has ``id, cid, text_key`` of every text of at least ``min_words``
     different words (equal word sets share a cid, equal texts also a text_key); ``links`` has ``a, b, similarity`` for every pair of different
     sets with Jaccard similarity >= threshold, each pair once.
@@ -210,17 +242,27 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold:
     firsts = texts.groupBy("set_key").agg(F.min("id").alias("id"))
     classes = materialize(texts.join(firsts.select("id"), "id", "left_semi").select(F.monotonically_increasing_id().alias("cid"), "set_key", "words"), "classes")
     members = materialize(texts.select("id", "set_key", "text_key").join(classes.select("set_key", "cid"), "set_key").select("id", "cid", "text_key"), "members")
-    top = raw.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    counts = materialize(raw.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    top = counts.orderBy(F.desc("n"), "word").limit(common_words).collect()
     common = np.array([r.word for r in top], dtype=np.int64)
-    prefix = materialize(_prefix_rows(classes, common, threshold), "prefix")
-    # Words of more sets than a tree may hold, split into blocks.
-    hot = prefix.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    hot = materialize(hot, "hot")
-    plain = prefix
-    extra = None
+    prefix = materialize(_prefix_rows(classes, counts, common, threshold), "prefix")
+    fields = ["key", "n", "cid", "sketch"]
+    hot = materialize(_hot(prefix.where("not extra"), block), "hot")
+    shards = prefix.where("not extra").select(*fields)
+    if 2 * threshold / (1 + threshold) * min_words > 1 and hot.limit(1).count():  # else similar sets might share one word only
+        # Sets that meet only in hot words share two words of the prefix and the next one: pairs of words are the keys.
+        mine = prefix.join(hot.select("key", F.lit(True).alias("hot")), "key", "left")
+        lists = mine.groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.collect_set("key").alias("all"), F.collect_set(F.when(F.col("hot") & ~F.col("extra"), F.col("key"))).alias("few")).where(F.size("few") > 0)
+        pair = lambda a, b: F.xxhash64(F.least(a, b), F.greatest(a, b))
+        keys = F.array_distinct(F.flatten(F.transform("few", lambda h: F.transform(F.filter("all", lambda o: o != h), lambda o: pair(h, o)))))
+        shards = shards.join(hot, "key", "left_anti").unionByName(lists.select(F.explode(keys).alias("key"), "n", "cid", "sketch"))
+        shards = materialize(shards, "shards")
+        hot = materialize(_hot(shards, block), "hot")
+    plain, extra = shards, None
     if hot.limit(1).count():
-        plain = prefix.join(hot, "key", "left_anti")
-        cut = prefix.join(hot, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        # Still more sets than a tree may hold: blocks, each a tree that all later blocks are sent to.
+        plain = shards.join(hot, "key", "left_anti")
+        cut = shards.join(hot, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         extra = cut.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("block"), "own", "n", "cid", "sketch").select("key", "block", (F.col("block") == F.col("own")).alias("member"), "n", "cid", "sketch")
     shards = plain.select("key", F.lit(0).alias("block"), F.lit(True).alias("member"), "n", "cid", "sketch")
     shards = shards.unionByName(extra) if extra is not None else shards

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -101,3 +102,19 @@ def test_star_form_for_equal_texts_only(spark):
     texts = {f"c{i}": " ".join(words) for i in range(6)} | {f"d{i}": " ".join(words[i + 1 :] + words[: i + 1]) for i in range(6)} | {"near": " ".join(words[:24]) + " other"}
     shown = {k: texts[k] for k in texts if k == "c0" or k[0] != "c"}
     assert pairs(spark, texts, expand=3) == brute(shown) | {("c0", f"c{i}") for i in range(1, 6)}
+
+
+@pytest.mark.parametrize("common", [0, 5, 50, 8192])
+@pytest.mark.parametrize("block", [8, 2048])
+def test_order_and_blocks_lose_nothing(spark, common, block):
+    """The order of rare words is joined, hot words give way to pairs of words, and what is still hot to blocks."""
+    texts = corpus(7, hot=30)
+    sets = {i: N.words_of(x) for i, x in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "id string, content string")
+    members, links = N.near_duplicate_classes(df, "id", "content", block=block, common_words=common)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r.cid, []).append(r.id)
+    found = {tuple(sorted((x, y))) for r in links.collect() for x in of[r.a] for y in of[r.b]}
+    found |= {(a, b) for ids in of.values() for a in ids for b in ids if a < b}
+    assert found == brute(texts) and all(len({frozenset(sets[i]) for i in ids}) == 1 for ids in of.values())

@@ -17,6 +17,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("node_a"), F.greatest("id", "neighbour").alias("node_b")).distinct()
 
 
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar nodes of every node, nearest first, however near they are."""
+    near = vectors.nearest_vectors(current_nodes(table(spark, sf_dir, "nodes"), "embedding"), "id", "embedding", k=5)
+    return near.select(F.col("id").alias("node_id"), "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_pairs(current_nodes(table(spark, sf_dir, "nodes"), "content"), "id", "content")
 
@@ -131,7 +137,7 @@ def p9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moderation.label_report(moderation.score_texts(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "moderation_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pieces, p5_found, p7_found, p7_packed, p7_report, p7_invariants, p8_found, p8_chosen, p8_report, p8_invariants, p9_found, p9_scores, p9_rates, p9_labels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_groups, p3_found, p3_pieces, p5_found, p7_found, p7_packed, p7_report, p7_invariants, p8_found, p8_chosen, p8_report, p8_invariants, p9_found, p9_scores, p9_rates, p9_labels)}
 
 _CURRENT = """cur AS (SELECT lower(trim(id)) AS id, arg_max(content, coalesce(updated_at, TIMESTAMPTZ '1970-01-01 00:00:00+00')) AS content FROM nodes WHERE id IS NOT NULL GROUP BY 1)"""
 # Pairs are narrowed by size only, so nothing of the operator is in the SQL.

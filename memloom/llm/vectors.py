@@ -1,6 +1,6 @@
 """The k most similar vectors of every vector, by robust-pruned directed graphs over shards.
 
-A k-means of a bounded sample cuts the space into shards of a bounded size. In every shard a directed
+A k-means of a sample (bounded by the number of shards) cuts the space into shards of a bounded size. In every shard a directed
 graph is grown in two passes: a greedy beam search proposes neighbours for a batch of vectors, and
 relaxed distance pruning keeps those that no kept one is much nearer to, so long edges survive beside
 short ones; edges are added in both directions and pruned again where there are too many. The second
@@ -11,6 +11,8 @@ both ends. All vectors are indexed and all are queries.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,10 +22,10 @@ from pyspark.sql import functions as F
 from memloom.runtime import materialize, slots
 
 SAMPLE = 16_384  # vectors the shards' centres are fitted on
-SHARD = 4_096  # vectors a shard should have
-LARGEST = 12_288  # a larger shard is cut at random, and every query for it searches all its parts
-SHARDS = 4_096  # at most so many centres, 1 MB, are sent to the tasks
-PROBES = 3  # shards a vector is searched in, its own included
+SHARD, LARGE_SHARD, SHARDS = 4_096, 65_536, 64  # vectors a shard should have: n / SHARDS within the two bounds
+SAMPLED = 32  # vectors of the sample a shard needs at least
+LARGEST = 3  # a shard of more than so many times its size is cut at random, and queries for it search all its parts
+SALT = 100_000  # rows of equal vectors one task is given at once
 DEGREE, SLACK, BEAM, RELAX = 16, 8, 32, 1.2
 
 
@@ -162,8 +164,42 @@ class Graph:
             self.deg[over] = (kept >= 0).sum(1)
 
 
-def fit_centres(sample: np.ndarray, k: int, rounds: int = 5, seed: int = 11) -> np.ndarray:
-    """Centres of k shards of about equal size: halving at the median along the main axis, then a few k-means rounds."""
+def shard_size(n: int) -> int:
+    """Vectors a shard should have, of n."""
+    return max(SHARD, min(LARGE_SHARD, -(-n // SHARDS)))
+
+
+def probes_for(shards: int, min_cosine: float) -> int:
+    """Shards a vector is searched in, its own included; it follows the number of shards, so that recall doesn't
+    fall as they get more. Neighbours above a high floor are nearer, and fewer shards have them."""
+    share = 0.4 if min_cosine >= 0.8 else 1.7
+    return min(shards, max(3, round(share * shards**0.5)))
+
+
+def _unit_rows(c: np.ndarray) -> np.ndarray:
+    return (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+
+def _halves(sample: np.ndarray, group: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
+    """A group of the sample cut at the median along its main axis."""
+    own = sample[group] - sample[group].mean(0)
+    axis = rng.standard_normal(own.shape[1]).astype(np.float32)
+    for _ in range(6):
+        axis = own.T @ (own @ axis)
+        axis /= np.linalg.norm(axis) + 1e-12
+    order = np.argsort(own @ axis, kind="stable")
+    return group[order[: len(group) // 2]], group[order[len(group) // 2 :]]
+
+
+def fit_centres(sample: np.ndarray, k: int, rounds: int = 5, seed: int = 11, at_once: int = 256) -> np.ndarray:
+    """Centres of about k shards of about equal size: halving at the median along the main axis, then a few
+    k-means rounds, then groups of more than twice the mean are halved again, so a dense region gets centres of
+    its own. Many centres are fitted in two steps, first few, then some in the region of each."""
+    if k > at_once:
+        few = fit_centres(sample, int(k**0.5), rounds, seed, at_once)
+        at = np.argmax(sample @ few.T, axis=1)
+        parts = [sample[at == i] for i in range(len(few))]
+        return np.concatenate([fit_centres(p, max(1, round(k * len(p) / len(sample))), rounds, seed, at_once) for p in parts if len(p)])
     groups = [np.arange(len(sample))]
     rng = np.random.default_rng(seed)
     while len(groups) < k:
@@ -172,22 +208,42 @@ def fit_centres(sample: np.ndarray, k: int, rounds: int = 5, seed: int = 11) ->
         if len(big) < 2:
             groups.append(big)
             break
-        own = sample[big] - sample[big].mean(0)
-        axis = rng.standard_normal(own.shape[1]).astype(np.float32)
-        for _ in range(6):
-            axis = own.T @ (own @ axis)
-            axis /= np.linalg.norm(axis) + 1e-12
-        order = np.argsort(own @ axis, kind="stable")
-        groups += [big[order[: len(big) // 2]], big[order[len(big) // 2 :]]]
-    unit = lambda c: c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    centres = unit(np.stack([sample[g].mean(0) for g in groups])).astype(np.float32)
+        groups += _halves(sample, big, rng)
+    centres = _unit_rows(np.stack([sample[g].mean(0) for g in groups]))
     for _ in range(rounds):
         at = np.argmax(sample @ centres.T, axis=1)
         sums = np.zeros_like(centres)
         np.add.at(sums, at, sample)
         empty = np.bincount(at, minlength=len(centres)) == 0
-        centres = np.where(empty[:, None], centres, unit(sums)).astype(np.float32)
-    return centres
+        centres = np.where(empty[:, None], centres, _unit_rows(sums)).astype(np.float32)
+    at = np.argmax(sample @ centres.T, axis=1)
+    most = max(2, 2 * len(sample) / len(centres))
+    done, todo = [], [(centres[i], np.flatnonzero(at == i)) for i in range(len(centres))]
+    while todo:
+        centre, group = todo.pop()
+        if len(group) > most:
+            todo += [(_unit_rows(sample[h].mean(0)[None, :])[0], h) for h in _halves(sample, group, rng)]
+        else:
+            done.append(centre)
+    return np.stack(done)
+
+
+def _placed(weights: dict[int, float], tasks: int, spark) -> dict[int, int]:
+    """A value for every shard such that a hash partitioning on it puts the shards, heaviest first, into the
+    task with the least so far."""
+    keys: dict[int, int] = {}
+    span = 0
+    while len(keys) < tasks:  # the partitioner's own hash says which values go where
+        for r in spark.range(span, span + 16 * tasks).select(F.col("id").cast("int").alias("v"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(tasks)).alias("t")).collect():
+            keys.setdefault(r.t, r.v)
+        span += 16 * tasks
+    heap = [(0.0, t) for t in range(tasks)]
+    out = {}
+    for shard in sorted(weights, key=lambda s: (-weights[s], s)):
+        load, t = heapq.heappop(heap)
+        out[shard] = keys[t]
+        heapq.heappush(heap, (load + weights[shard], t))
+    return out
 
 
 def usable_vectors(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
@@ -219,7 +275,7 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return x
 
 
-def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, min_cosine: float = -1.0, dim: int = 64, probes: int = PROBES, shard: int = SHARD, beam: int = BEAM) -> DataFrame:
+def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, min_cosine: float = -1.0, dim: int = 64, probes: int | None = None, shard: int | None = None, beam: int = BEAM) -> DataFrame:
     """``id, neighbour, cosine, rank``: up to ``k`` most similar ids of every id with a usable vector,
     those with at least ``min_cosine`` only, nearest first, ties by the smaller id.
 
@@ -236,34 +292,40 @@ def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, min
     schema = "id string, neighbour string, cosine double, rank int"
     if not n:
         return spark.createDataFrame([], schema)
-    k_shards = min(SHARDS, -(-n // shard))
-    part = min(1.0, SAMPLE / n)
+    shard = shard or shard_size(n)
+    wanted = -(-n // shard)
+    sampled = max(SAMPLE, SAMPLED * wanted)
     # Drawn by the hash of the value, so a vector that is there many times is in the sample once or not at all.
-    sample = vectors.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(part * 1_000_000)).dropDuplicates(["key"]).select("vec").limit(2 * SAMPLE).collect()
+    sample = vectors.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000_000)) < int(min(1.0, sampled / n) * 1_000_000_000)).dropDuplicates(["key"]).select("vec").limit(2 * sampled).collect()
     points = _unit(np.frombuffer(b"".join(bytes(r.vec) for r in sample), dtype=np.float32).reshape(-1, dim)).astype(np.float32)
-    centres = fit_centres(points, k_shards) if k_shards > 1 and len(points) else np.zeros((1, dim), np.float32)
-    held = spark.sparkContext.broadcast(centres)  # at most SHARDS x dim floats
+    centres = fit_centres(points, wanted) if wanted > 1 and len(points) else np.zeros((1, dim), np.float32)
+    p = min(probes or probes_for(len(centres), min_cosine), len(centres))
+    held = spark.sparkContext.broadcast(centres)  # dim floats a shard of LARGE_SHARD vectors
 
     def route(batches):
         c = held.value
-        p = min(probes, len(c))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(1), dim).astype(np.float32)
-            to = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :p].astype(np.int32)
-            row = np.repeat(np.arange(len(x)), p)
-            yield pa.RecordBatch.from_arrays([pa.array(to.ravel()), pa.array(np.tile(np.arange(p, dtype=np.int32), len(x))), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["shard", "turn", "cid", "vec"])
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                x = _matrix(part.column(1), dim).astype(np.float32)
+                near = x @ c.T
+                to = np.argpartition(-near, p - 1, axis=1)[:, :p]
+                to = np.take_along_axis(to, np.argsort(-np.take_along_axis(near, to, 1), axis=1, kind="stable"), 1).astype(np.int32)
+                row = np.repeat(np.arange(len(x)), p)
+                yield pa.RecordBatch.from_arrays([pa.array(to.ravel()), pa.array(np.tile(np.arange(p, dtype=np.int32), len(x))), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["shard", "turn", "cid", "vec"])
 
     routed = materialize(reps.select("cid", "vec").mapInArrow(route, "shard int, turn int, cid string, vec binary"), "routed")
-    sizes = routed.where("turn = 0").groupBy("shard").count()  # a row a centre
-    parts = sizes.select("shard", F.ceil(F.col("count") / LARGEST).cast("int").alias("parts"))
+    counts = routed.groupBy("shard").agg(F.count_if(F.col("turn") == 0).alias("members"), F.count("*").alias("rows")).collect()  # a row a centre
+    tasks = max(1, min(len(centres) * 2, max(slots(spark, 3), len(centres) // 4)))
+    largest = LARGEST * shard
+    # A member is put into the graph and searched, which takes about three times a guest's search.
+    place = _placed({r.shard: r.rows + 2.0 * r.members for r in counts}, tasks, spark)
+    shown_parts = spark.createDataFrame([(r.shard, max(1, -(-r.members // largest)), place[r.shard]) for r in counts], "shard int, parts int, task int")
     own = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
-    spread = routed.join(F.broadcast(parts), "shard").select(
-        "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), own.alias("own"), "turn", "cid", "vec"
-    ).select("shard", "part", ((F.col("turn") == 0) & (F.col("part") == F.col("own"))).alias("member"), "cid", "vec")
-    tasks = min(k_shards * 2, max(slots(spark, 3), k_shards // 4))
-    ready = spread.repartition(tasks, "shard", "part").sortWithinPartitions("shard", "part", F.desc("member"), "cid")
+    spread = routed.join(F.broadcast(shown_parts), "shard").select(
+        "shard", "task", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), own.alias("own"), "turn", "cid", "vec"
+    ).select("shard", "task", "part", ((F.col("turn") == 0) & (F.col("part") == F.col("own"))).alias("member"), "cid", "vec")
+    ready = spread.repartition(tasks, "task").select("shard", "part", "member", "cid", "vec").sortWithinPartitions("shard", "part", F.desc("member"), "cid")
 
     def hits(ids_a, ids_b, sims):
         return pa.RecordBatch.from_arrays([pa.array(ids_a, pa.string()), pa.array(ids_b, pa.string()), pa.array(sims, pa.float64())], names=["a", "b", "cosine"])
@@ -321,17 +383,20 @@ def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, min
     ranked = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
     best = links.dropDuplicates(["a", "b"]).withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k).select("a", "b", "cosine")
     best = materialize(best, "best")
-    # Back from classes to ids: the k + 1 smallest members stand for a class wherever it is a neighbour.
-    several = vectors.join(classes.where("m > 1").select("key", F.col("first").alias("cid")), "key").select("id", "cid")
-    several = materialize(several, "copies")
-    in_class = Window.partitionBy("cid").orderBy("id")
-    shown = several.withColumn("r", F.row_number().over(in_class)).where(F.col("r") <= k + 1).select("cid", F.col("id").alias("neighbour"))
-    singles_only = several.select("cid").distinct()
-    to_many = best.join(shown.withColumnRenamed("cid", "b"), "b").select("a", "neighbour", "cosine")
-    to_one = best.join(singles_only.withColumnRenamed("cid", "b"), "b", "left_anti").select("a", F.col("b").alias("neighbour"), "cosine")
+    # Back from classes to ids: the k + 1 smallest members stand for a class wherever it is a neighbour. Rows of
+    # a class are dealt out over salts, and what each of them is given is repeated for every salt.
+    many = classes.where("m > 1").select("key", F.col("first").alias("cid"), F.ceil(F.col("m") / SALT).cast("int").alias("salts"))
+    several = materialize(vectors.join(many, "key").select("id", "cid", "salts", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt")), "copies")
+    in_class = Window.partitionBy("cid").orderBy("id")  # cut to k + 1 rows a task before its shuffle
+    shown = materialize(several.withColumn("r", F.row_number().over(in_class)).where(F.col("r") <= k + 1).select("cid", F.col("id").alias("neighbour"), "salts"), "shown")
+    each = shown.select("cid", "salts").distinct()
+    to_many = best.join(shown.select(F.col("cid").alias("b"), "neighbour"), "b").select("a", "neighbour", "cosine")
+    to_one = best.join(each.select(F.col("cid").alias("b")), "b", "left_anti").select("a", F.col("b").alias("neighbour"), "cosine")
     towards = to_one.unionByName(to_many)
-    from_many = several.join(towards.withColumnRenamed("a", "cid"), "cid").select("id", "neighbour", "cosine")
-    from_one = towards.join(singles_only.withColumnRenamed("cid", "a"), "a", "left_anti").select(F.col("a").alias("id"), "neighbour", "cosine")
-    equals = several.join(shown, "cid").where("id <> neighbour").select("id", "neighbour", F.lit(1.0).alias("cosine"))
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    members = several.select("id", "cid", "salt")
+    from_many = members.join(salted(towards.withColumnRenamed("a", "cid").join(each, "cid")), ["cid", "salt"]).select("id", "neighbour", "cosine")
+    from_one = towards.join(each.select(F.col("cid").alias("a")), "a", "left_anti").select(F.col("a").alias("id"), "neighbour", "cosine")
+    equals = members.join(salted(shown), ["cid", "salt"]).where("id <> neighbour").select("id", "neighbour", F.lit(1.0).alias("cosine"))
     final = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
     return from_one.unionByName(from_many).unionByName(equals).withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("id", "neighbour", "cosine", "rank")

@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from memloom.llm import vectors as V
 
@@ -77,3 +79,42 @@ def test_unusable_vectors(spark):
     got = run(spark, rows, k=5, dim=16)
     assert set(got) == {"a", "b", "big", "tiny"} and all({b for b, _ in v} == set(got) - {k} for k, v in got.items())
     assert run(spark, [("n", None)], dim=16) == {}
+
+
+@pytest.mark.parametrize("shard", [400, 100, 40])
+def test_recall_without_a_floor_at_several_shard_counts(spark, shard):
+    x = np.random.default_rng(4).standard_normal((2400, 16)).astype(np.float32)  # nothing is near: the hard case
+    x[:600] = x[0] + 0.02 * x[:600]  # a dense region of a quarter of all
+    ids = [f"v{i:04}" for i in range(len(x))]
+    got = run(spark, list(zip(ids, x.tolist())), k=5, dim=16, shard=shard)
+    want = brute(ids, x, 5, -1)
+    assert all(len(v) == 5 for v in got.values()) and len(got) == len(ids)
+    hit = sum(len({b for b, _ in w} & {b for b, _ in got[a]}) for a, w in want.items())
+    assert hit / (5 * len(ids)) >= 0.9
+
+
+def test_dense_regions_get_centres_of_their_own():
+    r = np.random.default_rng(3)
+    x = r.standard_normal((4000, 16)).astype(np.float32)
+    x[:2000] = x[0] + 0.01 * x[:2000]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k, at_once in ((16, 256), (60, 20)):
+        c = V.fit_centres(x, k, at_once=at_once)
+        assert np.bincount(np.argmax(x @ c.T, axis=1)).max() <= 4 * len(x) / k and len(c) <= 3 * k
+
+
+def test_shards_are_placed_by_weight(spark):
+    weights = {i: float(100 - i) for i in range(40)}
+    keys = V._placed(weights, 7, spark)
+    rows = spark.createDataFrame([(i, keys[i]) for i in weights], "shard int, task int").repartition(7, "task").withColumn("pid", F.spark_partition_id()).collect()
+    loads = {}
+    for r in rows:
+        loads[r.pid] = loads.get(r.pid, 0) + weights[r.shard]
+    assert len(loads) == 7 and max(loads.values()) <= 1.15 * min(loads.values())
+
+
+def test_a_large_class_is_dealt_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(V, "SALT", 7)
+    rows = [(f"c{i:02}", [0.5] * 16) for i in range(50)] + [("d0", [0.5] * 15 + [0.4]), ("d1", [0.5] * 15 + [0.4])]
+    got = run(spark, rows, k=3, dim=16)
+    assert len(got) == 52 and [b for b, _ in got["c40"]] == ["c00", "c01", "c02"] and [b for b, _ in got["d1"]] == ["d0", "c00", "c01"]

@@ -2,8 +2,7 @@
 
 A span longer than the limit minus the overlap is cut at the strongest boundary near its middle, and
 both halves are cut again until they fit. Then every piece but the first is begun ``overlap``
-characters earlier. Positions are found once a text; the pieces travel as offsets and are cut out in
-the JVM only where their text is asked for.
+characters earlier. Positions are found once a text; pieces are offsets, or cut out where the text is held.
 """
 
 from __future__ import annotations
@@ -26,7 +25,8 @@ BLANK = re.compile(r"[^\S\r\n]+")
 EDGE = " \t\r\n"
 
 CONFIG_FIELDS = ["config_id", "max_chunk_size", "min_chunk_size", "overlap", "respect_sentences", "respect_paragraphs", "semantic_threshold"]
-MAX_CONFIGS = 10_000
+MAX_CONFIGS = 10_000  # settings sent to every task at once
+BATCH = 4_000_000  # code points in a batch of pieces
 
 
 def valid_configs(configs: DataFrame) -> DataFrame:
@@ -127,6 +127,38 @@ def bisect_text(b: Boundaries, limit: int, overlap: int, minimum: int, sentences
 PIECES = "config_id int, forced int, starts array<int>, ends array<int>, bodies array<int>"
 
 
+def _settings(configs: DataFrame) -> list[list[tuple]]:
+    """The valid configs as (limit, id, overlap, minimum, sentences, paragraphs), smallest limit first, in lists of
+    at most about MAX_CONFIGS: a list goes to every task."""
+    rows = valid_configs(configs).select(*CONFIG_FIELDS).distinct()
+    slices = -(-2 * rows.count() // MAX_CONFIGS)
+    cut = F.pmod(F.xxhash64(*CONFIG_FIELDS), F.lit(max(1, slices)))
+    return [sorted((r.max_chunk_size, r.config_id, r.overlap, max(0, r.min_chunk_size or 0), bool(r.respect_sentences), bool(r.respect_paragraphs)) for r in rows.where(cut == i).collect()) for i in range(slices)]
+
+
+def _cut(text: str, settings: list[tuple]):
+    """(config_id, forced, starts, ends, bodies) for the configs whose limit the text is over."""
+    b, n = Boundaries(text), len(text)
+    for limit, cid, overlap, minimum, sentences, paragraphs in settings:
+        if n <= limit:
+            break
+        body = np.array(bisect_text(b, limit, overlap, minimum, sentences, paragraphs), dtype=np.int32)
+        yield cid, int(sentences and b.longest > limit), np.maximum(body - overlap, 0), np.append(body[1:], np.int32(n)), body
+
+
+def _over_limit(df: DataFrame, id_col: str, text_col: str, settings: list[tuple]) -> DataFrame:
+    smallest = settings[0][0] if settings else 1 << 30
+    return df.select(id_col, text_col).where(F.length(text_col) > smallest).repartition(slots(df.sparkSession, 4))
+
+
+def _of_every_list(df: DataFrame, configs: DataFrame, run) -> DataFrame:
+    out = None
+    for settings in _settings(configs) or [[]]:
+        part = run(settings)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def chunk_texts(df: DataFrame, configs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """A row for every valid config and every text with more code points than its max_chunk_size:
     ``id_col, config_id, forced, starts, ends, bodies`` (0-based offsets of the pieces, and of the body
@@ -134,37 +166,58 @@ def chunk_texts(df: DataFrame, configs: DataFrame, id_col: str = "id", text_col:
 
     Concatenating text[bodies[i]:ends[i]] gives the text again, whole. ``forced`` is 1 if
     respect_sentences is set and one sentence alone is longer than max_chunk_size. Texts that are null,
-    empty or within the limit come out of no config. Configs are a table of settings: at most
-    MAX_CONFIGS, else an error. Repeated rows come out repeatedly.
+    empty or within the limit come out of no config. Configs are a table of settings, read in lists of at
+    most about MAX_CONFIGS and the texts once for each list. Repeated rows come out repeatedly.
     """
-    rows = valid_configs(configs).select(*CONFIG_FIELDS).distinct().limit(MAX_CONFIGS + 1).collect()
-    if len(rows) > MAX_CONFIGS:
-        raise ValueError(f"more than {MAX_CONFIGS} chunking configs")
-    settings = sorted((r.max_chunk_size, r.config_id, r.overlap, max(0, r.min_chunk_size or 0), bool(r.respect_sentences), bool(r.respect_paragraphs)) for r in rows)
-    smallest = settings[0][0] if settings else 1 << 30
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(settings):
+        def cut(batches):
+            for batch in batches:
+                ids, rows = [], []
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    for row in _cut(text, settings):
+                        ids.append(key)
+                        rows.append(row)
+                config, forced, *offsets = zip(*rows) if rows else ((),) * 5
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(config, pa.int32()), pa.array(forced, pa.int32()), *(_list_array(x) for x in offsets)], names=[id_col, "config_id", "forced", "starts", "ends", "bodies"])
 
-    def cut(batches):
-        for batch in batches:
-            ids, config, forced, starts, ends, bodies = [], [], [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                b = Boundaries(text)
-                n = len(text)
-                for limit, cid, overlap, minimum, sentences, paragraphs in settings:
-                    if n <= limit:
-                        break
-                    body = np.array(bisect_text(b, limit, overlap, minimum, sentences, paragraphs), dtype=np.int32)
-                    ids.append(key)
-                    config.append(cid)
-                    forced.append(int(sentences and b.longest > limit))
-                    bodies.append(body)
-                    ends.append(np.append(body[1:], np.int32(n)))
-                    starts.append(np.maximum(body - overlap, 0))
-            lists = [_list_array(x) for x in (starts, ends, bodies)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(config, pa.int32()), pa.array(forced, pa.int32()), *lists], names=[id_col, "config_id", "forced", "starts", "ends", "bodies"])
-
-    long = df.select(id_col, text_col).where(F.length(text_col) > smallest)
+        return _over_limit(df, id_col, text_col, settings).mapInArrow(cut, f"`{id_col}` {kind}, {PIECES}")
+
+    return _of_every_list(df, configs, run)
+
+
+def chunk_pieces(df: DataFrame, configs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """One row a piece, with its text: ``id_col, config_id, piece, start, end, body, forced, text``, for the same
+    texts and configs as ``chunk_texts``. Pieces are cut where the text is held, so a text travels once and is
+    never walked through again for a piece."""
     kind = df.schema[id_col].dataType.simpleString()
-    return long.repartition(slots(df.sparkSession, 4)).mapInArrow(cut, f"`{id_col}` {kind}, {PIECES}")
+    names = [id_col, "config_id", "piece", "start", "end", "body", "forced", "text"]
+
+    def run(settings):
+        def cut(batches):
+            for batch in batches:
+                ids, columns, held = [], [[] for _ in names[1:]], 0
+
+                def flush():
+                    types = [pa.int32()] * 6 + [pa.string()]
+                    return pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *(pa.array(c, t) for c, t in zip(columns, types))], names=names)
+
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    for config, forced, starts, ends, bodies in _cut(text, settings):
+                        for i, (start, end, body) in enumerate(zip(starts.tolist(), ends.tolist(), bodies.tolist())):
+                            ids.append(key)
+                            for c, v in zip(columns, (config, i, start, end, body, forced, text[start:end])):
+                                c.append(v)
+                            held += end - start
+                            if held > BATCH:
+                                yield flush()
+                                ids, columns, held = [], [[] for _ in names[1:]], 0
+                yield flush()
+
+        return _over_limit(df, id_col, text_col, settings).mapInArrow(cut, f"`{id_col}` {kind}, config_id int, piece int, start int, end int, body int, forced int, text string")
+
+    return _of_every_list(df, configs, run)
 
 
 def _list_array(parts: list[np.ndarray]) -> pa.Array:
@@ -173,12 +226,3 @@ def _list_array(parts: list[np.ndarray]) -> pa.Array:
         np.cumsum([len(p) for p in parts], out=offsets[1:])
     values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
-
-
-def piece_rows(cuts: DataFrame, texts: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """One row a piece, with its text: ``id_col, config_id, piece, start, end, body, forced, text``.
-
-    ``texts`` has one row an id."""
-    flat = cuts.select(id_col, "config_id", "forced", F.posexplode(F.arrays_zip("starts", "ends", "bodies")).alias("piece", "x"))
-    flat = flat.select(id_col, "config_id", "forced", "piece", F.col("x.starts").alias("start"), F.col("x.ends").alias("end"), F.col("x.bodies").alias("body"))
-    return flat.join(texts.select(id_col, text_col), id_col).select(*flat.columns, F.substring(F.col(text_col), F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))

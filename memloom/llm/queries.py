@@ -37,19 +37,16 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(grouped, "cid").select(F.col("id").alias("node_id"), "group_id")
 
 
-def _cuts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    nodes = current_nodes(table(spark, sf_dir, "nodes"), "content")
-    return chunks.chunk_texts(nodes, table(spark, sf_dir, "chunking_config")), nodes
-
-
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cuts, _ = _cuts(spark, sf_dir)
+    nodes = current_nodes(table(spark, sf_dir, "nodes"), "content")
+    cuts = chunks.chunk_texts(nodes, table(spark, sf_dir, "chunking_config"))
     return cuts.where(F.size("starts") > 1).select("config_id", F.col("id").alias("node_id"), "forced")
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cuts, nodes = _cuts(spark, sf_dir)
-    return chunks.piece_rows(cuts, nodes).select("config_id", F.col("id").alias("node_id"), "piece", "start", "end", "text")
+    nodes = current_nodes(table(spark, sf_dir, "nodes"), "content")
+    pieces = chunks.chunk_pieces(nodes, table(spark, sf_dir, "chunking_config"))
+    return pieces.select("config_id", F.col("id").alias("node_id"), "piece", "start", "end", "text")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -39,7 +40,10 @@ def test_longest_sentence():
 CONFIG = "config_id int, max_chunk_size int, min_chunk_size int, overlap int, respect_sentences boolean, respect_paragraphs boolean, semantic_threshold double"
 
 
-def test_operator(spark):
+@pytest.mark.parametrize("most", [10_000, 2])
+def test_operator(spark, most, monkeypatch):
+    monkeypatch.setattr(C, "MAX_CONFIGS", most)  # fewer than there are: lists of settings, one after another
+    monkeypatch.setattr(C, "BATCH", 500)
     configs = spark.createDataFrame([(1, 50, 5, 10, True, True, 0.3), (2, 20, 1, 19, False, False, 0.5), (3, 0, 0, 0, True, True, 0.3), (4, 10, 20, 1, True, True, 0.3), (5, 10, 1, 10, True, True, 0.3), (6, 10, 1, 1, True, True, 1.5), (7, None, 1, 1, True, True, 0.5)], CONFIG)
     texts = {"a": "Short one. " * 12, "b": "x" * 75, "c": "tiny", "n": None, "e": "", "long": "Ein Satz mit Wörtern. " * 3000}
     df = spark.createDataFrame([(k, v, 1) for k, v in texts.items()], "id string, content string, starts int")
@@ -49,8 +53,9 @@ def test_operator(spark):
     limit = {1: 50, 2: 20}
     overlap = {1: 10, 2: 19}
     rows = {}
-    for r in C.piece_rows(cuts, df).collect():
+    for r in C.chunk_pieces(df, configs).collect():
         rows.setdefault((r.config_id, r.id), []).append(r)
+    assert set(rows) == {(c, k) for c, k, _ in found}
     for (cid, key), pieces in rows.items():
         pieces.sort(key=lambda r: r.piece)
         text = texts[key]
@@ -62,4 +67,4 @@ def test_operator(spark):
 def test_no_rows(spark):
     configs = spark.createDataFrame([], CONFIG)
     df = spark.createDataFrame([("a", "text " * 50)], "id string, content string")
-    assert C.chunk_texts(df, configs).collect() == []
+    assert C.chunk_texts(df, configs).collect() == [] == C.chunk_pieces(df, configs).collect()

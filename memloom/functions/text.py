@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: a mark that no text holds; it is put where a text is cut.
-MARK = "\u0001"
+# The place behind . ! or ? where a blank, a line end or the end of the text follows, for Java and for Python.
+SENTENCE_BREAK = r"(?<=[.!?])(?=[ \n]|\z)"
 
 
 def strip(c: Column) -> Column:
@@ -19,17 +19,17 @@ def contains_ci(c: Column, needle: str) -> Column:
     return F.contains(F.lower(c), F.lower(F.lit(needle)))
 
 
-def _pieces(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, MARK), strip), lambda s: s != "")
+def _pieces(c: Column, between: str) -> Column:
+    return F.filter(F.transform(F.split(c, between), strip), lambda s: s != "")
 
 
 def sentences(c: Column) -> Column:
     """Array of sentences: an end is . ! or ? before a blank, a line end or the end of the text."""
-    return _pieces(F.regexp_replace(c, r"([.!?])( |\n|$)", "$1" + MARK + "$2"))
+    return _pieces(c, SENTENCE_BREAK)
 
 
 def paragraphs(c: Column) -> Column:
-    return _pieces(F.regexp_replace(c, r"\n\n", MARK))
+    return _pieces(c, r"\n\n")
 
 
 def words(c: Column) -> Column:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,20 +32,35 @@ def with_cosine(df: DataFrame, vector_col: str, query: list[float], name: str =
     q = np.asarray(query, dtype=np.float64)
     qn = float(np.linalg.norm(q))
 
-    @pandas_udf("double")
-    def score(vectors: pd.Series) -> pd.Series:
-        out = np.full(len(vectors), np.nan)
-        sizes = np.array([-1 if v is None else len(v) for v in vectors])
-        out[sizes >= 0] = 0.0
-        rows = np.flatnonzero(sizes == len(q))
-        if len(rows) and qn > 0:
-            x = np.stack([np.asarray(vectors.iloc[i], dtype=np.float64) for i in rows])
-            with np.errstate(all="ignore"):
-                c = (x @ q) / (np.linalg.norm(x, axis=1) * qn)
-            out[rows] = np.where(np.isfinite(c), c, 0.0)
-        return pd.Series(out)
-
-    return df.withColumn(name, F.when(F.col(vector_col).isNotNull(), score(vector_col)))
+    def score(batches):
+        for batch in batches:
+            vectors = batch.column(at)
+            if isinstance(vectors, pa.ChunkedArray):
+                vectors = vectors.combine_chunks()
+            sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+            out = np.where(sizes >= 0, 0.0, np.nan)
+            rows = np.flatnonzero(sizes == len(q))
+            if len(rows) and qn > 0:
+                x = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(q))
+                with np.errstate(all="ignore"):
+                    c = (x @ q) / (np.linalg.norm(x, axis=1) * qn)
+                out[rows] = np.where(np.isfinite(c), c, 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, mask=sizes < 0)], names=names)
+
+    rest = [c for c in df.columns if c != name]
+    names, at = [*rest, name], rest.index(vector_col)
+    schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(name, T.DoubleType())])
+    return df.select(*rest).mapInArrow(score, schema)
+
+
+def mean_pool(hidden: Column, mask: Column) -> Column:
+    """Sum of hidden * mask over tokens, divided by max(sum of mask, 1); not scaled to length 1. ``hidden`` is an array
+    of equally long arrays, ``mask`` one number a token. Null where either is null, empty for no tokens."""
+    pairs = F.zip_with(hidden, mask, lambda h, m: F.transform(h, lambda x: x.cast("double") * m.cast("double")))
+    first = F.transform(F.get(hidden, F.lit(0)), lambda x: F.lit(0.0))
+    total = F.aggregate(pairs, F.coalesce(first, F.array().cast("array<double>")), lambda a, h: F.zip_with(a, h, lambda x, y: x + y))
+    count = F.aggregate(mask, F.lit(0.0), lambda a, m: a + m.cast("double"))
+    return F.when(hidden.isNotNull() & mask.isNotNull(), F.transform(total, lambda x: x / F.greatest(count, F.lit(1.0))))
 
 
 def similarity_score(cosine_value: Column) -> Column:

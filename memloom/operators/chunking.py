@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.functions.text import paragraphs, sentences
+from memloom.functions.text import SENTENCE_BREAK, paragraphs, sentences, strip
 
 CHUNK = "idx int, range_start int, range_end int, content string, boundary_score double, chunk_type string, level int, error string"
 LEVEL = {"document": 0, "paragraph": 1, "sentence": 2, "custom": 3}
@@ -45,37 +46,44 @@ class HierarchicalConfig:
 
 
 def fixed_windows(text: str, config: FixedConfig) -> list[tuple]:
-    """Windows of ``size`` characters: cut at the first line end in the last part of the window, else at
-    its last blank, else hard; the next window begins ``overlap`` characters before the cut."""
+    """Windows of ``size`` characters: cut behind the first line end in the last 100 characters of the window, else
+    before its last blank, else hard; the next window begins ``overlap`` characters before the cut, unless less
+    than a step is left. A cut that would not take the next window further is passed over."""
     text = text.strip()
     n, out, start = len(text), [], 0
-    window = min(100, config.size)
     while start < n:
         end = min(start + config.size, n)
         if end < n:
-            low = max(start, end - window)
-            cut = text.find("\n", low, end)
-            cut = cut if cut > start + config.overlap else text.rfind(" ", low, end)
+            cut = text.find("\n", max(start, end - 100), end) + 1
+            if cut <= start + config.overlap:
+                cut = text.rfind(" ", start + 1, end)
             if cut > start + config.overlap:
                 end = cut
-        piece = text[start:end].strip()
-        if piece:
-            out.append((len(out), start, end, piece, 1.0, "custom", 3, None))
-        if end >= n:
-            break
-        start = end - config.overlap
+        out.append((len(out), start, end, text[start:end], 1.0, "custom", 3, None))
+        start = end - config.overlap if end + config.size - config.overlap < n else end
     return out
 
 
+_BREAK = re.compile(SENTENCE_BREAK.replace(r"\z", r"\Z"))
+
+
 def split_sentences(text: str) -> list[str]:
-    out, held = [], []
-    for i, c in enumerate(text):
-        held.append(c)
-        if c in ".!?" and (i + 1 == len(text) or text[i + 1] in " \n"):
-            out.append("".join(held))
-            held = []
-    out.append("".join(held))
-    return [s for s in (x.strip() for x in out) if s]
+    """As ``functions.text.sentences``, for use inside a task."""
+    return [s for s in (x.strip() for x in _BREAK.split(text)) if s]
+
+
+def cut_bytes(text: str, size: int) -> list[str]:
+    """Pieces of at most ``size`` bytes, no character divided (a single larger one stands alone)."""
+    raw, out, at = text.encode(), [], 0
+    while at < len(raw):
+        end = min(at + size, len(raw))
+        while end < len(raw) and raw[end] & 0xC0 == 0x80 and end > at:
+            end -= 1
+        if end == at:
+            end = next((i for i in range(at + 1, len(raw)) if raw[i] & 0xC0 != 0x80), len(raw))
+        out.append(raw[at:end].decode())
+        at = end
+    return out
 
 
 def word_jaccard(a: set[str], b: set[str]) -> float:
@@ -83,8 +91,9 @@ def word_jaccard(a: set[str], b: set[str]) -> float:
 
 
 def semantic_groups(text: str, config: SemanticConfig) -> list[tuple]:
-    """Sentences grouped up to ``max_size`` bytes, a new group also where the words of the two sentences
-    before and the two after have a similarity under the threshold and the group has ``min_size`` bytes."""
+    """Sentences grouped in order: a group of at least ``min_size`` bytes ends where another sentence would take it
+    over ``max_size``, or where the words of the two sentences before and the two after have a similarity
+    under the threshold. Sizes are those of the sentences, without the blanks between them."""
     text = text.strip()
     if len(text.encode()) < config.min_size:
         return [(None, None, None, None, None, None, None, f"InputTooShort({config.min_size}, {len(text.encode())})")]
@@ -105,9 +114,9 @@ def semantic_groups(text: str, config: SemanticConfig) -> list[tuple]:
 
     for i, s in enumerate(parts):
         n = len(s.encode())
-        if group and (size + 1 + n > config.max_size or (i in cuts and size >= config.min_size)):
+        if size and size >= config.min_size and (size + n > config.max_size or i in cuts):
             close()
-        size += n + (1 if group else 0)
+        size += n
         group.append(s)
     if group:
         close()
@@ -148,7 +157,8 @@ def chunk_semantic(df: DataFrame, id_col: str, text_col: str, config: SemanticCo
 def chunk_hierarchical(df: DataFrame, id_col: str, text_col: str, config: HierarchicalConfig = HierarchicalConfig()) -> DataFrame:
     """``chunk_id, parent_id, level`` and the fields of a chunk for a document, its paragraphs and their sentences.
 
-    The document's content is its first ``document`` characters, cut at the last blank."""
+    The document's content is its first ``document`` characters, cut at the last blank. Sentences of more than
+    ``sentence`` bytes are cut. Texts under a tenth of ``paragraph`` bytes have one row with ``error``."""
 
     def prefix(text: str) -> str:
         if len(text) <= config.document:
@@ -159,11 +169,11 @@ def chunk_hierarchical(df: DataFrame, id_col: str, text_col: str, config: Hierar
     def split(text: str) -> list[tuple]:
         text = text.strip()
         out = [(0, 0, len(text), prefix(text), 1.0, "document", 0, None)]
-        for group in semantic_groups(text, SemanticConfig(0, config.paragraph, config.threshold)):
+        for group in semantic_groups(text, SemanticConfig(config.paragraph // 10, config.paragraph, config.threshold)):
+            if group[3] is None:
+                return [group]
             out.append(group)
-            pieces = []
-            for s in split_sentences(group[3]):
-                pieces += [s[i : i + config.sentence] for i in range(0, len(s), config.sentence)]
+            pieces = [x for s in split_sentences(group[3]) for x in cut_bytes(s, config.sentence)]
             # The error field carries the index of the paragraph until ids are made.
             out += [(i, 0, len(s), s, 0.9, "sentence", 2, str(group[0])) for i, s in enumerate(pieces)]
         return out
@@ -216,3 +226,12 @@ def ingest_documents(docs: DataFrame, as_of: str, strategy: str = "semantic", co
         nodes = nodes.withColumn("embedding", embed(F.col("content")))
     edges = good.select(cid.alias("source"), F.col("document_id").alias("target"), F.lit("is_part_of").alias("relation"), F.lit(1.0).alias("weight"), now.alias("created_at"), F.lit(False).alias("expired"), F.col("idx").cast("long").alias("seq"))
     return nodes, edges
+
+
+def chunks_from_ranges(df: DataFrame, id_col: str, text_col: str, ranges_col: str, chunk_type: str = "custom") -> DataFrame:
+    """``id_col, idx, range_start, range_end, content, chunk_type`` for an array of (start, end) character offsets:
+    the trimmed slices. Offsets beyond the text give what there is; null texts or arrays give no rows."""
+    r = df.select(id_col, text_col, F.posexplode(ranges_col).alias("idx", "r"))
+    fields = df.schema[ranges_col].dataType.elementType.names
+    start, end = (F.col("r")[f] for f in fields[:2])
+    return r.where(F.col(text_col).isNotNull()).select(id_col, "idx", start.alias("range_start"), end.alias("range_end"), strip(F.substring(F.col(text_col), start + 1, end - start)).alias("content"), F.lit(chunk_type).alias("chunk_type"))

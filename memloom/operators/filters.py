@@ -97,8 +97,8 @@ class NodeFilter:
     created_after: str | None = None
     custom: Filter | None = None
 
-    def apply(self, nodes: DataFrame) -> DataFrame:
-        tests = []
+    def condition(self, columns: list[str]) -> Column:
+        tests = [F.lit(True)]
         if self.node_types:
             tests.append(_name(F.col("node_type")).isin(*self.node_types))
         if self.min_confidence is not None:
@@ -110,8 +110,11 @@ class NodeFilter:
         if self.created_after is not None:
             tests.append(F.col("created_at") >= F.lit(self.created_after).cast("timestamp"))
         if self.custom is not None:
-            tests.append(compile_filter(self.custom, nodes.columns))
-        return nodes.where(reduce(lambda a, b: a & b, tests)) if tests else nodes
+            tests.append(compile_filter(self.custom, columns))
+        return reduce(lambda a, b: a & b, tests)
+
+    def apply(self, nodes: DataFrame) -> DataFrame:
+        return nodes.where(self.condition(nodes.columns))
 
 
 @dataclass(frozen=True)
@@ -146,6 +149,6 @@ class SpanFilter:
             out = out.where(F.col("duration_ms").between(self.min_duration, self.max_duration))
         for test in self.extra:
             out = out.where(test)
-        if self.limit is not None:
-            out = out.orderBy("start_time", "span_id").offset(self.offset).limit(self.limit)
-        return out
+        if self.limit is not None or self.offset:
+            out = out.orderBy("start_time", "span_id").offset(self.offset)
+        return out if self.limit is None else out.limit(self.limit)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.operators.skew import stitched_rank
-from memloom.runtime import materialize
+from memloom.runtime import drop, materialize
 
 EDGE_VERBS = {  # fixed values: how a relation is read in an explanation
     "is_part_of": "is part of", "belongs_to": "belongs to", "causes": "causes", "happened_after": "happened after",
@@ -54,6 +54,22 @@ def neighbors(edges: DataFrame, nodes: DataFrame, node_id: str, direction: str =
     return near.join(nodes.select("id"), "id", "left_semi")
 
 
+def node_by_id(nodes: DataFrame, node_id: str) -> DataFrame:
+    """The node, or no row."""
+    return nodes.where(F.col("id") == node_id).limit(1)
+
+
+def exist(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, found) for every id asked for."""
+    there = nodes.select("id", F.lit(True).alias("_there")).distinct()
+    return ids.select("id").join(there, "id", "left").select("id", F.coalesce("_there", F.lit(False)).alias("found"))
+
+
+def edge_by_key(edges: DataFrame, source: str, target: str, relation: str) -> DataFrame:
+    """The edge of a triple, or no row."""
+    return edges.where((F.col("source") == source) & (F.col("target") == target) & (F.col("relation") == relation)).limit(1)
+
+
 def edge_between(edges: DataFrame) -> DataFrame:
     """The first edge (least seq) of every (source, target)."""
     rest = [c for c in edges.columns if c not in ("source", "target")]
@@ -75,6 +91,7 @@ def bfs(edges: DataFrame, nodes: DataFrame, starts: list[str] | DataFrame, direc
     walk = walk.join(nodes.select(F.col("id").alias("to")), "to", "left_semi")
     if max_nodes is None:
         walk = walk.select("from", "to").distinct()
+    walk = materialize(walk, "walk")  # read again at every level: two or three narrow columns of the edges that count
     zero = F.lit(0).cast("long")
     level = start.select("id", F.lit(0).alias("depth"), zero.alias("place"))
     level = materialize(level if max_nodes is None else _placed(level.drop("place"), ["id"], 0), "bfs")
@@ -104,6 +121,7 @@ def bfs(edges: DataFrame, nodes: DataFrame, starts: list[str] | DataFrame, direc
         given += n
         if given >= max_nodes:
             break
+    drop(walk)
     out = levels[0] if include_start else levels[0].where(F.lit(False))
     for x in levels[1:]:
         out = out.unionByName(x)
@@ -120,36 +138,42 @@ def _placed(rows: DataFrame, order: list[str], given: int, small: int = 50_000)
 
 
 def dfs(edges: DataFrame, nodes: DataFrame, start: str, direction: str = "forward", max_depth: int = 3, max_nodes: int = 100, relations: list[str] | None = None) -> DataFrame:
-    """(id, depth, place) in depth-first order: a node counts when it is pushed, children in order of seq.
+    """(id, depth, place) in depth-first order: a node counts when it is pushed, children in order of seq, then id.
 
-    The subgraph within ``max_depth`` is found breadth-first and only its edges, bounded by the cap on
-    nodes of interactive use, go to one task for the ordering."""
-    near = materialize(bfs(edges, nodes, [start], direction, max_depth, None, relations, include_start=True), "dfs")
+    At most ``max_nodes`` rows. The search needs no more than the first 2 * max_nodes + 1 children of a node (fewer
+    were seen before), so the driver asks for those of all nodes on its stack at once, whenever it comes to one
+    it doesn't know: what it holds goes with the cap, not with the graph. A missing start gives no rows.
+    """
+    spark = edges.sparkSession
+    ids = nodes.select("id")
     walk = oriented(usable_edges(edges, relations), direction).select("from", "to", "seq").where(F.col("from") != F.col("to"))
-    for side in ("from", "to"):
-        walk = walk.join(near.select(F.col("id").alias(side)), side, "left_semi")
-
-    def order(pdf):
-        import pandas as pd
-
-        adjacent: dict[str, list[str]] = {}
-        for f, t in pdf.sort_values(["seq", "to"])[["from", "to"]].itertuples(index=False):
-            adjacent.setdefault(f, []).append(t)
-        seen, out, stack = {start}, [], [(start, 0)]
-        while stack and len(out) < max_nodes:
-            node, depth = stack.pop()
-            if depth >= max_depth:
-                continue
-            fresh = []
-            for t in adjacent.get(node, []):
-                if t not in seen:
-                    seen.add(t)
-                    fresh.append(t)
-                    out.append((t, depth + 1))
-            stack.extend((t, depth + 1) for t in reversed(fresh))
-        return pd.DataFrame([(i, d, p + 1) for p, (i, d) in enumerate(out)], columns=["id", "depth", "place"])
-
-    return walk.groupBy(F.lit(0).alias("g")).applyInPandas(order, "id string, depth int, place long")
+    walk = materialize(walk.join(ids.withColumnRenamed("id", "to"), "to", "left_semi").groupBy("from", "to").agg(F.min("seq").alias("seq")), "walk")
+    by_seq = Window.partitionBy("from").orderBy("seq", "to")
+    known: dict[str, list[str]] = {}
+
+    def ask(wanted: list[str]) -> None:
+        near = walk.join(spark.createDataFrame([(w,) for w in wanted], "`from` string"), "from", "left_semi").withColumn("r", F.row_number().over(by_seq)).where(F.col("r") <= 2 * max_nodes + 1)
+        known.update({w: [] for w in wanted})
+        for row in sorted(near.collect(), key=lambda x: x.r):
+            known[row["from"]].append(row.to)
+
+    seen, out = {start}, []
+    stack = [(start, 0)] if ids.where(F.col("id") == start).limit(1).count() else []
+    while stack and len(out) < max_nodes:
+        node, depth = stack.pop()
+        if depth >= max_depth:
+            continue
+        if node not in known:
+            ask([node] + [n for n, d in stack if d < max_depth and n not in known])
+        fresh = []
+        for t in known[node]:
+            if t not in seen and len(out) < max_nodes:
+                seen.add(t)
+                fresh.append((t, depth + 1))
+                out.append((t, depth + 1, len(out) + 1))
+        stack.extend(reversed(fresh))
+    drop(walk)
+    return spark.createDataFrame(out, "id string, depth int, place long")
 
 
 def shortest_path(edges: DataFrame, nodes: DataFrame, start: str, end: str, max_hops: int = 5, direction: str = "forward") -> DataFrame:
@@ -160,7 +184,7 @@ def shortest_path(edges: DataFrame, nodes: DataFrame, start: str, end: str, max_
     ids = nodes.select("id")
     here = spark.createDataFrame([(start, [start])], "id string, path array<string>").join(ids, "id", "left_semi")
     walk = oriented(usable_edges(edges), direction).select("from", "to").where(F.col("from") != F.col("to")).distinct()
-    walk = walk.join(ids.withColumnRenamed("id", "to"), "to", "left_semi")
+    walk = materialize(walk.join(ids.withColumnRenamed("id", "to"), "to", "left_semi"), "walk")
     level = materialize(here, "path")
     if start == end:
         return level.select("path", F.lit(0).alias("hops"))
@@ -180,10 +204,11 @@ def shortest_path(edges: DataFrame, nodes: DataFrame, start: str, end: str, max_
 def all_paths(edges: DataFrame, nodes: DataFrame, start: str, end: str, max_nodes: int = 4, direction: str = "forward") -> DataFrame:
     """(path): every simple path of at most max_nodes nodes; parallel edges give a path once each.
 
-    Walks are pruned to nodes that can still reach the end in the hops left."""
+    Walks are pruned to nodes that can still reach the end in the hops left. There are as many rows as paths,
+    which through a hub grow with its edges for every hop: max_nodes is what bounds them."""
     spark = edges.sparkSession
     walk = oriented(usable_edges(edges), direction).select("from", "to").where(F.col("from") != F.col("to"))
-    walk = walk.join(nodes.select(F.col("id").alias("to")), "to", "left_semi")
+    walk = materialize(walk.join(nodes.select(F.col("id").alias("to")), "to", "left_semi"), "walk")
     back = {"forward": "backward", "backward": "forward", "both": "both"}[direction]
     left = materialize(bfs(edges, nodes, [end], back, max_nodes - 1, None, include_start=True).select("id", F.col("depth").alias("left")), "left")
     level = materialize(spark.createDataFrame([([start],)], "path array<string>").join(nodes.where(F.col("id") == start).select("id").limit(1), F.lit(True), "left_semi"), "paths")
@@ -220,6 +245,30 @@ def path_type(steps: Column) -> Column:
     return F.when(F.size(steps) == 0, F.lit("associative")).when(every("causes"), F.lit("causal")).when(every("is_part_of", "is_a"), F.lit("hierarchical")).when(every("happened_after"), F.lit("temporal")).otherwise(F.lit("hybrid"))
 
 
+_KINDS = {"causal": ["causes"], "hierarchical": ["is_part_of", "is_a"], "temporal": ["happened_after"]}  # every edge is one of these
+
+
+def two_step_summary(edges: DataFrame) -> DataFrame:
+    """``path_type, n, avg_confidence, avg_weakest`` over all pairs of edges (source, target, relation, weight) that meet.
+
+    A middle node has in-edges x out-edges paths; none is listed. Their number and the sum of products are products
+    of sums. The sum of the smaller weights comes from one walk over the edges of a node, heaviest first: each
+    is the smaller one with every edge of the other side before it. That walk is stitched over range
+    partitions, so a hub is cut. What no other type has is hybrid.
+    """
+    kind = F.coalesce(*(F.when(F.col("relation").isin(*names), F.lit(k)) for k, names in _KINDS.items()))
+    ends = edges.select(F.explode(F.array(F.struct(F.col("target").alias("mid"), F.lit(1).alias("into")), F.struct(F.col("source").alias("mid"), F.lit(0).alias("into")))).alias("x"), "weight", F.explode(F.array_compact(F.array(F.lit("all"), kind))).alias("kind"))
+    rows = ends.select("x.mid", "kind", "x.into", F.col("weight").cast("double").alias("weight")).withColumns({"_down": -F.col("weight"), "_side": 1 - F.col("into")})
+    walked = stitched_rank(rows, ["mid", "kind"], ["_down", "_side"], size="into", rank="place", running="ins")
+    weakest_sum = F.when(F.col("into") == 1, F.col("weight") * (F.col("place") - F.col("ins"))).otherwise(F.col("weight") * F.col("ins"))
+    into, out = F.col("into") == 1, F.col("into") == 0
+    by_node = walked.groupBy("mid", "kind").agg(F.count_if(into).alias("a"), F.count_if(out).alias("b"), F.sum(F.when(into, F.col("weight")).otherwise(0.0)).alias("wa"), F.sum(F.when(out, F.col("weight")).otherwise(0.0)).alias("wb"), F.sum(weakest_sum).alias("w"))
+    sums = by_node.groupBy("kind").agg(F.sum(F.col("a") * F.col("b")).alias("n"), F.sum(F.col("wa") * F.col("wb")).alias("c"), F.sum("w").alias("w"))
+    rest = sums.agg(*(F.sum(F.when(F.col("kind") == "all", F.col(x)).otherwise(-F.col(x))).alias(x) for x in ("n", "c", "w"))).select(F.lit("hybrid").alias("kind"), "n", "c", "w")
+    every = sums.where("kind <> 'all'").unionByName(rest).where("n > 0")
+    return every.select(F.col("kind").alias("path_type"), "n", (F.col("c") / F.col("n")).alias("avg_confidence"), (F.col("w") / F.col("n")).alias("avg_weakest"))
+
+
 def verb(relation: Column) -> Column:
     out = F.regexp_replace(relation, "_", " ")
     for k, v in EDGE_VERBS.items():
@@ -252,9 +301,9 @@ def traverse(edges: DataFrame, nodes: DataFrame, start: str, direction: str = "f
 
 
 def subgraph(edges: DataFrame, nodes: DataFrame, seeds: list[str], radius: int = 1, cap: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(node ids around the seeds, edges of the seeds in both directions)."""
+    """(node ids around the seeds, edges of the seeds in both directions). ``seeds`` is a list the caller holds."""
     spark = edges.sparkSession
     seed = spark.createDataFrame([(s,) for s in seeds], "id string").distinct()
     around = bfs(edges, nodes, seed, "forward", radius, cap, include_start=True).select("id").distinct()
-    touching = edges.join(F.broadcast(seed.withColumnRenamed("id", "source")), "source", "left_semi").unionByName(edges.join(F.broadcast(seed.withColumnRenamed("id", "target")), "target", "left_semi")).distinct()
+    touching = edges.join(seed.withColumnRenamed("id", "source"), "source", "left_semi").unionByName(edges.join(seed.withColumnRenamed("id", "target"), "target", "left_semi")).distinct()
     return around, touching

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions.decay import DecayConfig, clamp, current_score, raw_score
+from memloom.operators.skew import stitched_rank
 from memloom.runtime import materialize
 
 
@@ -15,17 +16,18 @@ def access_events(log: DataFrame, as_of: Column, default_boost: float = 1.0) ->
     return once.dropDuplicates(["log_id"])
 
 
-def fold_access(log: DataFrame, as_of: Column, config: DecayConfig = DecayConfig(), start: float = 1.0, bucket: str = "day") -> DataFrame:
+def fold_access(log: DataFrame, as_of: Column, config: DecayConfig = DecayConfig(), start: float = 1.0, bucket: int = 5_000) -> DataFrame:
     """``node_id, score, last_access, accesses``: every access decays the score since the one before and adds its boost.
 
     The clamps make the steps depend on each other, so they are taken in order of (ts, log_id). The
-    composition of clamped affine steps is again one, x -> clamp(a * x + b, low, high): a bucket of a
-    node's accesses is folded to these four numbers first, and the buckets in order after, so that no
-    task holds all accesses of a hot node.
+    composition of clamped affine steps is again one, x -> clamp(a * x + b, low, high): every ``bucket``
+    consecutive accesses of a node are folded to these four numbers first, and the buckets in order after, so
+    that no row holds all accesses of a hot node. Ranks are stitched over range partitions.
     """
     events = access_events(log, as_of)
     lo, hi = config.min_score, config.max_score
-    keyed = events.select("node_id", F.date_trunc(bucket, "ts").alias("bucket"), F.struct("ts", "log_id", "boost").alias("e"))
+    ranked = stitched_rank(events, ["node_id"], ["ts", "log_id"])
+    keyed = ranked.select("node_id", F.floor((F.col("rank") - 1) / bucket).alias("bucket"), F.struct("ts", "log_id", "boost").alias("e"))
     lists = keyed.groupBy("node_id", "bucket").agg(F.sort_array(F.collect_list("e")).alias("es"))
     # Within a bucket: the first access adds its boost; every other decays first. State: x -> clamp(a x + b, l, h).
     first = F.element_at("es", 1)
@@ -53,8 +55,6 @@ def fold_access(log: DataFrame, as_of: Column, config: DecayConfig = DecayConfig
 
 def access_gaps(log: DataFrame, as_of: Column) -> DataFrame:
     """Every access with the hours since the one before of the same node, by stitched ranges: hot nodes are cut."""
-    from memloom.operators.skew import stitched_rank
-
     events = access_events(log, as_of)
     ranked = materialize(stitched_rank(events, ["node_id"], ["ts", "log_id"]), "gaps")
     before = ranked.select("node_id", (F.col("rank") + 1).alias("rank"), F.col("ts").alias("before"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions.enums import NODE_TYPES, parse_node_type
@@ -99,25 +99,72 @@ def export_json(nodes: DataFrame, path: str) -> None:
     nodes.write.mode("errorifexists").json(path)
 
 
+def _attributes() -> Column:
+    """Attributes as they are where they are a JSON object, else an empty one."""
+    kept = F.when(F.get_json_object("attributes", "$").startswith("{"), F.col("attributes"))
+    return F.coalesce(kept, F.lit("{}"))
+
+
+def _with_attributes(body: Column) -> Column:
+    """A JSON object with the attributes put in as they were written."""
+    return F.concat(F.regexp_replace(body, r"\}$", ""), F.lit(',"attributes":'), _attributes(), F.lit("}"))
+
+
+NODE_META = "created_at timestamp, updated_at timestamp, accessed_at timestamp, access_score double, confidence double, source string, document_id string, chunk_index int"
+EDGE_FIELDS = "source string, target string, relation string, weight double, created_at timestamp, expired boolean, replaced_by string"
+
+
 def node_json(nodes: DataFrame) -> DataFrame:
-    """(id, json): nested as the interfaces show a node."""
+    """(id, json): nested as the interfaces show a node; attributes are passed through."""
     meta = F.struct("created_at", "updated_at", "accessed_at", "access_score", "confidence", "source", "document_id", "chunk_index")
-    return nodes.select("id", F.to_json(F.struct("id", "content", "node_type", meta.alias("meta"))).alias("json"))
+    return nodes.select("id", _with_attributes(F.to_json(F.struct("id", "content", "node_type", meta.alias("meta")))).alias("json"))
+
+
+def edge_json(edges: DataFrame) -> DataFrame:
+    """(source, target, relation, json)."""
+    names = [x.split()[0] for x in EDGE_FIELDS.split(", ")]
+    return edges.select("source", "target", "relation", _with_attributes(F.to_json(F.struct(*names))).alias("json"))
+
+
+def read_node_json(rows: DataFrame, json_col: str = "json") -> DataFrame:
+    """Nodes from their JSON; rows that are none come out with null fields."""
+    x = F.from_json(json_col, f"id string, content string, node_type string, meta struct<{NODE_META.replace(' ', ':').replace(',:', ',')}>")
+    return rows.select(x.alias("x"), F.get_json_object(json_col, "$.attributes").alias("attributes")).select("x.id", "x.content", "x.node_type", "x.meta.*", "attributes")
+
+
+def read_edge_json(rows: DataFrame, json_col: str = "json") -> DataFrame:
+    return rows.select(F.from_json(json_col, EDGE_FIELDS).alias("x"), F.get_json_object(json_col, "$.attributes").alias("attributes")).select("x.*", "attributes")
+
+
+def put_metadata(table: DataFrame, key: str, value: str) -> DataFrame:
+    """The (key, value) table with one value set."""
+    return upsert(table, table.sparkSession.createDataFrame([(key, value)], "key string, value string"), ["key"])
+
+
+def get_metadata(table: DataFrame, key: str) -> DataFrame:
+    return table.where(F.col("key") == key).select("value")
+
+
+def save_edges(edges: DataFrame, path: str) -> None:
+    """Writes edges sorted by source within files, so reads of one source skip most of them."""
+    edges.repartitionByRange("source").sortWithinPartitions("source", "target", "relation").write.mode("overwrite").parquet(path)
 
 
 def page(nodes: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return nodes.orderBy("id").offset(offset).limit(limit)
 
 
-def database_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def page_with_total(nodes: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """The rows of a page, each with the ``total`` of all pages; a limit of 0 gives no rows."""
+    return page(nodes, limit, offset).crossJoin(nodes.agg(F.count("*").alias("total")))  # one row
+
+
+def database_stats(nodes: DataFrame, edges: DataFrame, memory: DataFrame | None = None) -> DataFrame:
+    """One row of counts; with ``memory``, the row of ``memory_stats``, also its columns."""
     n = nodes.agg(F.count("*").alias("nodes"), F.count_if(F.size("embedding") > 0).alias("embedded"), F.count_if(parse_node_type(F.col("node_type")).isin(*NODE_TYPES)).alias("typed"))
-    return n.crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges"))))  # one row each
+    out = n.crossJoin(edges.agg(F.count("*").alias("edges")))  # one row each
+    return out if memory is None else out.crossJoin(memory)
 
 
 def type_source_cube(nodes: DataFrame) -> DataFrame:
     return nodes.cube("node_type", "source").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
-
-
-def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

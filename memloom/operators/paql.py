@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions.text import contains_ci
 from memloom.operators.filters import Filter, compile_filter
+from memloom.sources.tables import current_rows
 
 MAX_DEPTH = 10
 DEFAULT_HOPS = 2
@@ -325,14 +326,17 @@ def compile_node(node, nodes: DataFrame, edges: DataFrame | None = None, embed=N
     return left.unionByName(right).dropDuplicates(["id"])
 
 
-def run(query: Query | str, nodes: DataFrame, edges: DataFrame | None = None, limit: int | None = None, embed=None) -> DataFrame:
+def run(query: Query | str, nodes: DataFrame, edges: DataFrame | None = None, limit: int | None = None, embed=None, versions: bool = False) -> DataFrame:
     """The rows of a query, ordered by its sort fields, else by access score; ties by id. The smaller of
-    the two limits holds."""
+    the two limits holds. With ``versions``, ``nodes`` is the stored table with all versions of a node: tests on a
+    row then go into the scan before the current versions are found."""
     q = parse(query) if isinstance(query, str) else query
+    test = predicate(q.root, nodes.columns) if versions and not isinstance(q.root, Empty) else None
+    nodes = current_rows(nodes, test) if versions else nodes
     if isinstance(q.root, Empty):
         rows = nodes.where(F.lit(False))
     else:
-        rows = compile_node(q.root, nodes, edges, embed)
+        rows = nodes if test is not None else compile_node(q.root, nodes, edges, embed)
     keys = []
     for name, ascending in q.sort or [("access_score", False)]:
         c = F.col(name) if name in nodes.columns else F.get_json_object("attributes", f"$.{name}")

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.functions.text import preview, token_estimate, two_places
+from memloom.functions.text import contains_ci, preview, token_estimate, two_places
 from memloom.functions.vector import with_cosine
 from memloom.operators.graph import bfs, oriented, usable_edges
-from memloom.runtime import materialize
+from memloom.operators.skew import stitched_rank
+from memloom.runtime import drop, materialize
 
 
 @dataclass(frozen=True)
@@ -95,6 +96,38 @@ def hybrid_retrieve(nodes: DataFrame, edges: DataFrame, query: list[float], conf
     return direct.where(F.col("score") >= config.min_relevance).unionByName(around).orderBy(F.desc("score"), "id")
 
 
+def retrieve_context(nodes: DataFrame, edges: DataFrame, query: list[float] | None = None, seeds: DataFrame | list[str] | None = None, config: RetrievalConfig = RetrievalConfig(), style: str = "default") -> tuple[DataFrame, DataFrame]:
+    """(one row ``context``, ``sources`` id, preview, score): what is retrieved, each id once if ``deduplicate``
+    is set, its contents within ``max_context_tokens``, put into the style asked for. ``nodes`` has id, content,
+    node_type and embedding. Rows of one id differ in score only where the retrieval gives an id twice."""
+    found = retrieve(nodes, edges, query, seeds, config)
+    found = dedup_by_score(found) if config.deduplicate else found
+    rows = found.join(nodes.select("id", "content", "node_type"), "id")
+    fit = materialize(fit_context(rows.where("content is not null"), config.max_context_tokens), "context")
+    return format_context(fit, style), sources(fit)
+
+
+def search_text(nodes: DataFrame, text: str, k: int = 10, embed=None) -> DataFrame:
+    """``id, score, rank`` and the columns of the nodes, best first: by similarity to the embedded text, or by
+    access score among the nodes whose content has the text where there is no embedding (``embed`` is None, or
+    gives None). The words are the same in both; only the second depends on their spelling."""
+    from memloom.operators.vector_search import knn
+
+    vector = embed(text) if embed is not None else None
+    if vector is None:
+        hits = nodes.where(F.coalesce(contains_ci(F.col("content"), text), F.lit(False))).select("id", F.col("access_score").alias("score"), F.col("access_score").alias("by"))
+    else:
+        hits = knn(nodes, vector, k).select("id", "score", F.col("cosine").alias("by"))
+    best = hits.orderBy(F.desc_nulls_last("by"), "id").limit(k)
+    placed = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("by"), "id"))).drop("by")  # k rows
+    return placed.join(nodes.select("id", *(c for c in nodes.columns if c not in ("id", "score", "rank"))), "id")
+
+
+def rerank(rows: DataFrame, w: Weights = Weights()) -> DataFrame:
+    """Rows (id, vector_similarity, hop_distance) with ``final_score`` by the scorer for traversals, best first."""
+    return rows.withColumn("final_score", score_traversal(F.col("vector_similarity"), F.col("hop_distance"), w)).orderBy(F.desc("final_score"), "id")
+
+
 def retrieve(nodes: DataFrame, edges: DataFrame, query: list[float] | None = None, seeds: DataFrame | list[str] | None = None, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     if config.mode == "vector":
         return vector_retrieve(nodes, query, config)
@@ -105,15 +138,29 @@ def retrieve(nodes: DataFrame, edges: DataFrame, query: list[float] | None = Non
     raise ValueError(f"mode {config.mode!r}")
 
 
+SMALL = 50_000  # rows that are ranked in one task; more are ranked over range partitions
+
+
+def _running(rows: DataFrame, rank: str, size: Column | None = None, running: str = "running") -> DataFrame:
+    """Adds the rank by score (ties by id) and, with ``size``, its running sum, over all rows."""
+    work = rows.withColumn("_size", (size if size is not None else F.lit(0)).cast("long"))
+    if work.limit(SMALL + 1).count() <= SMALL:
+        w = Window.orderBy(F.desc("score"), "id")
+        out = work.withColumn(rank, F.row_number().over(w).cast("long")).withColumn(running, F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        keyed = work.withColumn("_all", F.lit(0)).withColumn("_down", -F.col("score"))
+        out = stitched_rank(keyed, ["_all"], ["_down", "id"], size="_size", rank=rank, running=running).drop("_all", "_down")
+    return out.drop("_size") if size is not None else out.drop("_size", running)
+
+
 def ranked(rows: DataFrame) -> DataFrame:
-    """1-based rank by score; for results that are bounded by their limits."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    """1-based rank by score, ties by id."""
+    return _running(rows, "rank")
 
 
 def fit_context(rows: DataFrame, max_tokens: int) -> DataFrame:
     """The rows up to the first that would pass the budget of estimated tokens."""
-    w = Window.orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("context_tokens", F.sum(token_estimate(F.col("content"))).over(w)).where(F.col("context_tokens") <= max_tokens)
+    return _running(rows, "_rank", token_estimate(F.col("content")), "context_tokens").drop("_rank").where(F.col("context_tokens") <= max_tokens)
 
 
 def result_stats(rows: DataFrame) -> DataFrame:
@@ -122,43 +169,67 @@ def result_stats(rows: DataFrame) -> DataFrame:
 
 # Expansion
 
-def expand(seeds: DataFrame, edges: DataFrame, max_hops: int = 2, min_weight: float = 0.3, max_expanded: int = 100, max_total: int = 200, strategy: str = "bfs", node_types: DataFrame | None = None, relations: list[str] | None = None) -> DataFrame:
+def expand(seeds: DataFrame, edges: DataFrame, max_hops: int = 2, min_weight: float = 0.3, max_expanded: int | None = 100, max_total: int | None = 200, strategy: str = "bfs", nodes: DataFrame | None = None, node_types: list[str] | None = None, relations: list[str] | None = None) -> DataFrame:
     """``id, hop, weight, score``: seeds (id, score) and their neighbours over edges of enough weight.
 
-    A node keeps the best way it was reached on its first hop. ``weighted`` expands the heaviest edges
-    first where a cap bites, ``bfs`` goes by id; ``typed`` keeps only ids in ``node_types``. The caps
-    bound how many nodes are expanded and given back."""
+    A node keeps the best way it was reached on its first hop. No more than ``max_expanded`` nodes of a hop are
+    expanded: ``weighted`` takes those of the highest priority, ``bfs`` goes by id; what isn't expanded stays in the
+    result. No more than ``max_total`` rows come back, nearest hops first. With ``nodes`` and ``node_types`` only
+    neighbours of these types count. None for a cap is no cap.
+    """
+    if strategy not in ("bfs", "weighted"):
+        raise ValueError(f"strategy {strategy!r}")
     walk = oriented(usable_edges(edges, relations, True, min_weight), "both").select("from", "to", F.col("weight").cast("double").alias("weight"))
-    if strategy == "typed":
-        walk = walk.join(node_types.select(F.col("id").alias("to")), "to", "left_semi")
+    if node_types is not None:
+        walk = walk.join(nodes.where(F.col("node_type").isin(*node_types)).select(F.col("id").alias("to")), "to", "left_semi")
+    walk = materialize(walk, "walk")
     level = materialize(seeds.select("id", F.lit(0).alias("hop"), F.lit(1.0).alias("weight"), F.col("score").cast("double").alias("score")).dropDuplicates(["id"]), "expand")
     out, seen = level, level.select("id")
     for hop in range(1, max_hops + 1):
-        order = [F.desc("weight"), "id"] if strategy == "weighted" else ["id"]
-        front = level.orderBy(*order).limit(max_expanded)
-        steps = front.select(F.col("id").alias("from"), F.col("score").alias("seed_score")).join(walk, "from").join(seen.withColumnRenamed("id", "to"), "to", "left_anti")
-        best = steps.groupBy(F.col("to").alias("id")).agg(F.max(F.struct("weight", "seed_score")).alias("b"))
-        level = materialize(best.select("id", F.lit(hop).alias("hop"), F.col("b.weight").alias("weight"), expansion_score(F.col("b.seed_score"), F.col("b.weight"), F.lit(hop)).alias("score")), "expand")
+        level = _next_hop(level, seen, walk, hop, max_expanded, strategy)
         if not level.limit(1).count():
             break
         out, seen = out.unionByName(level), seen.unionByName(level.select("id"))
-    return out.orderBy("hop", F.desc("score"), "id").limit(max_total)
+    drop(walk)
+    out = out.orderBy("hop", F.desc("score"), "id")
+    return out if max_total is None else out.limit(max_total)
+
+
+def _next_hop(level: DataFrame, seen: DataFrame, walk: DataFrame, hop: int, max_expanded: int | None, strategy: str) -> DataFrame:
+    front = level
+    if max_expanded is not None:
+        order = [F.desc(expansion_priority(F.col("score"), F.col("weight"), F.col("hop"))), "id"] if strategy == "weighted" else ["id"]
+        front = level.orderBy(*order).limit(max_expanded)
+    steps = front.select(F.col("id").alias("from"), F.col("score").alias("seed_score")).join(walk, "from").join(seen.withColumnRenamed("id", "to"), "to", "left_anti")
+    best = steps.groupBy(F.col("to").alias("id")).agg(F.max(F.struct("weight", "seed_score")).alias("b"))
+    return materialize(best.select("id", F.lit(hop).alias("hop"), F.col("b.weight").alias("weight"), expansion_score(F.col("b.seed_score"), F.col("b.weight"), F.lit(hop)).alias("score")), "expand")
 
 
 def expand_by_relation(seeds: DataFrame, edges: DataFrame, relations: list[str], min_weight: float = 0.0) -> DataFrame:
     """One hop over the relations named."""
-    return expand(seeds, edges, 1, min_weight, 1_000_000, 1_000_000, "bfs", relations=relations)
+    return expand(seeds, edges, 1, min_weight, None, None, "bfs", relations=relations)
 
 
-def expand_adaptive(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, threshold: float = 0.3, max_hops: int = 3) -> DataFrame:
-    """Another hop as long as the nodes found have fewer than 10 x threshold different types."""
-    out = expand(seeds, edges, 1)
-    for hop in range(2, max_hops + 1):
-        kinds = out.join(nodes.select("id", "node_type"), "id").agg(F.countDistinct("node_type").alias("n")).first().n
-        if kinds >= 10 * threshold:
+def type_counts(expanded: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_type, n) of the nodes found."""
+    return expanded.select("id").join(nodes.select("id", "node_type"), "id").groupBy("node_type").agg(F.count("*").alias("n"))
+
+
+def expand_adaptive(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, threshold: float = 0.3, max_hops: int = 3, min_weight: float = 0.3, max_expanded: int | None = 100, max_total: int | None = 200) -> DataFrame:
+    """Another hop, from the last one on, as long as the nodes found have fewer than 10 x threshold different types."""
+    walk = materialize(oriented(usable_edges(edges, None, True, min_weight), "both").select("from", "to", F.col("weight").cast("double").alias("weight")), "walk")
+    level = materialize(seeds.select("id", F.lit(0).alias("hop"), F.lit(1.0).alias("weight"), F.col("score").cast("double").alias("score")).dropDuplicates(["id"]), "expand")
+    out, kinds = level, set()
+    for hop in range(1, max_hops + 1):
+        level = _next_hop(level, out.select("id"), walk, hop, max_expanded, "bfs")
+        out = out.unionByName(level)
+        # As many rows as there are types.
+        kinds |= {r.node_type for r in type_counts(level if kinds else out, nodes).collect() if r.node_type is not None}
+        if len(kinds) >= 10 * threshold:
             break
-        out = expand(seeds, edges, hop)
-    return out
+    drop(walk)
+    out = out.orderBy("hop", F.desc("score"), "id")
+    return out if max_total is None else out.limit(max_total)
 
 
 def expansion_stats(expanded: DataFrame) -> DataFrame:
@@ -198,15 +269,27 @@ def level_filter(nodes: DataFrame, level: str) -> DataFrame:
 def compress(rows: DataFrame, max_tokens: int, strategy: str = "top_only") -> DataFrame:
     """Rows (id, content, score), fewer of them if their estimated tokens are over the budget:
     deduplicate (first 50 characters), top_only and cluster_summary (better half), none, key_sentences (as they are)."""
-    total = rows.agg(F.sum(token_estimate(F.col("content"))).alias("n")).first().n or 0
-    if total <= max_tokens or strategy in ("none", "key_sentences"):
+    if strategy not in ("none", "key_sentences", "deduplicate", "top_only", "cluster_summary"):
+        raise ValueError(f"compression {strategy!r}")
+    sums = rows.agg(F.sum(token_estimate(F.col("content"))).alias("tokens"), F.count("*").alias("n")).first()
+    if (sums.tokens or 0) <= max_tokens or strategy in ("none", "key_sentences"):
         return rows
     if strategy == "deduplicate":
-        w = Window.partitionBy(F.substring("content", 1, 50)).orderBy(F.desc("score"), "id")
-        return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    if strategy in ("top_only", "cluster_summary"):
-        return rows.orderBy(F.desc("score"), "id").limit(rows.count() // 2)
-    raise ValueError(f"compression {strategy!r}")
+        first = rows.groupBy(F.substring("content", 1, 50).alias("_start")).agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b"))
+        return rows.join(first.select(F.col("b.id").alias("id")), "id", "left_semi")
+    return ranked(rows).where(F.col("rank") <= sums.n // 2).drop("rank")
+
+
+def removed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(id) of the rows that a compression took out."""
+    return before.select("id").join(after.select("id"), "id", "left_anti")
+
+
+def select_context(nodes: DataFrame, max_tokens: int, complexity: float, default: str = "paragraph") -> tuple[str, DataFrame]:
+    """(level, the nodes of that level), by the size of all contents."""
+    total = nodes.agg(F.sum(token_estimate(F.col("content"))).alias("n")).first().n or 0
+    level = select_level(total, max_tokens, complexity, default)
+    return level, level_filter(nodes, level)
 
 
 def children_of(rows: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions.enums import _name
 from memloom.operators.hierarchy import build_hierarchy, normal_id
 from memloom.operators.skew import stitched_rank
 
-DONE, FAILED = "completed", "failed"
+DONE, FAILED, CANCELLED = "completed", "failed", "cancelled"
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
@@ -22,9 +22,9 @@ def merge_spans(spans: DataFrame) -> DataFrame:
 
 
 def trace_events(spans: DataFrame) -> DataFrame:
-    """An enter and, for ended spans, an exit or error event."""
+    """An enter and, for ended spans, an exit, error or cancel event."""
     enter = spans.select("span_id", "parent_id", F.lit("enter").alias("event_type"), "name", F.col("start_time").alias("ts"), F.lit(None).cast("double").alias("duration_ms"), F.lit(None).cast("string").alias("error"))
-    leave = spans.where("end_time is not null").select("span_id", "parent_id", F.when(F.col("status") == FAILED, F.lit("error")).otherwise(F.lit("exit")).alias("event_type"), "name", F.col("end_time").alias("ts"), "duration_ms", "error")
+    leave = spans.where("end_time is not null").select("span_id", "parent_id", F.when(F.col("status") == FAILED, F.lit("error")).when(F.col("status") == CANCELLED, F.lit("cancel")).otherwise(F.lit("exit")).alias("event_type"), "name", F.col("end_time").alias("ts"), "duration_ms", "error")
     return enter.unionByName(leave)
 
 
@@ -66,6 +66,48 @@ def session_stats(spans: DataFrame, gap: str = "1 hour") -> DataFrame:
     return spans.groupBy("name", w.alias("w")).agg(F.count("*").alias("spans"), F.avg("duration_ms").alias("avg_ms")).select("name", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "spans", "avg_ms")
 
 
+def window_percentiles(spans: DataFrame, width: str = "1 day", slide: str | None = None) -> DataFrame:
+    """``window_stats`` with p50, p95 and p99 of the durations (null in windows without any)."""
+    w = F.window("start_time", width, slide) if slide else F.window("start_time", width)
+    rows = spans.select(w.alias("w"), "duration_ms").select(F.col("w.start").alias("window_start"), "duration_ms")
+    return window_stats(spans, width, slide).join(index_percentiles(rows, ["window_start"]), "window_start", "left")
+
+
+def storage_stats(spans: DataFrame, events: DataFrame) -> DataFrame:
+    """One row: stored spans and events."""
+    return spans.agg(F.count("*").alias("span_count")).crossJoin(events.agg(F.count("*").alias("event_count")))  # one row each
+
+
+def append_spans(spans: DataFrame, path: str) -> None:
+    """Adds spans to a store, a folder a day of start; a reader merges the rows of a span with ``merge_spans``."""
+    spans.withColumn("day", F.to_date("start_time")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    events.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def stored(spark, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """What was appended, of the days from ``first`` to ``last`` only where they are given (whole folders are skipped)."""
+    df = spark.read.parquet(path)
+    for test in ([F.col("day") >= first] if first else []) + ([F.col("day") <= last] if last else []):
+        df = df.where(test)
+    return df.drop("day")
+
+
+def filter_events(events: DataFrame, types: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Events of the types named, within both times, bounds included."""
+    out = events if types is None else events.where(F.col("event_type").isin(*types) if types else F.lit(False))
+    out = out if start is None else out.where(F.col("ts") >= F.lit(start).cast("timestamp"))
+    return out if end is None else out.where(F.col("ts") <= F.lit(end).cast("timestamp"))
+
+
+def children_by_parent(spans: DataFrame) -> DataFrame:
+    """(parent, child, parent_name, child_name) for spans whose parent is there."""
+    parents = spans.select(F.col("span_id").alias("parent"), F.col("name").alias("parent_name"))
+    return spans.select(F.col("span_id").alias("child"), F.col("parent_id").alias("parent"), F.col("name").alias("child_name")).join(parents, "parent")
+
+
 def collector_stats(spans: DataFrame) -> DataFrame:
     return spans.agg(F.count("*").alias("created"), F.count_if(F.col("status") == DONE).alias("completed"), F.count_if(F.col("status") == FAILED).alias("failed"), F.count_if(F.col("end_time").isNull()).alias("open")).withColumn(
         "success_rate", F.coalesce(F.try_divide(F.col("completed"), F.col("completed") + F.col("failed")), F.lit(1.0))
@@ -129,8 +171,3 @@ def text_lines(tree: DataFrame) -> DataFrame:
 
 def json_lines(tree: DataFrame) -> DataFrame:
     return tree.select("root_id", "span_id", F.to_json(F.struct("span_id", "parent_id", "name", "kind", "status", "duration_ms", "depth")).alias("json"))
-
-
-def latest_per_name(spans: DataFrame) -> DataFrame:
-    w = Window.partitionBy("name").orderBy(F.desc("start_time"), "span_id")
-    return spans.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

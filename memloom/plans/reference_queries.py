@@ -9,11 +9,12 @@ from memloom.functions import decay, enums, text
 from memloom.functions.vector import cosine
 from memloom.operators import chunking, filters, graph, memory, mutations, paql, rag, traces, vector_search
 from memloom.operators.hierarchy import normal_id
-from memloom.sources.tables import current_nodes, latest_edges, norm_id, norm_name, table
+from memloom.plans.registry import registry
+from memloom.runtime import materialize
+from memloom.sources.tables import current_nodes, current_rows, latest_edges, norm_id, norm_name, table
 
 AS_OF = "2024-08-01 00:00:00"
 SLOW = decay.DecayConfig(rate=0.002, min_score=0.1, max_score=10.0, boost=0.5)
-NODE_COLUMNS = ["content", "node_type", "embedding", "created_at", "updated_at", "accessed_at", "access_score", "confidence", "source", "document_id", "chunk_index", "attributes"]
 
 
 def as_of() -> F.Column:
@@ -21,7 +22,7 @@ def as_of() -> F.Column:
 
 
 def nodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    df = current_nodes(table(spark, d, "nodes"), *(columns or NODE_COLUMNS))
+    df = current_nodes(table(spark, d, "nodes"), *columns) if columns else current_rows(table(spark, d, "nodes"))
     return df.withColumn("node_type", norm_name("node_type")) if "node_type" in df.columns else df
 
 
@@ -33,10 +34,19 @@ def spans(spark: SparkSession, d: str) -> DataFrame:
     return traces.merge_spans(table(spark, d, "spans"))
 
 
-def busiest(spark: SparkSession, d: str) -> str:
+def graph_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(latest edges, ids of the nodes), written once for the searches of a query."""
+    return materialize(edges(spark, d, "weight", "expired", "seq"), "edges"), materialize(node_ids(spark, d), "ids")
+
+
+def node_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nodes").select(norm_id("id").alias("id")).where("id is not null").distinct()
+
+
+def busiest(spark: SparkSession, d: str, e: DataFrame | None = None, ids: DataFrame | None = None) -> str:
     """The node with the most active outgoing edges, the smallest id of those: start of the traversals."""
-    e = edges(spark, d, "expired", "seq").where(~F.coalesce("expired", F.lit(False)))
-    e = e.join(nodes(spark, d, "updated_at").select(F.col("id").alias("source")), "source", "left_semi")
+    e = (edges(spark, d, "expired", "seq") if e is None else e).where(~F.coalesce("expired", F.lit(False)))
+    e = e.join((node_ids(spark, d) if ids is None else ids).select(F.col("id").alias("source")), "source", "left_semi")
     row = e.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").first()
     return row.source if row else ""
 
@@ -61,20 +71,7 @@ S = """s AS (SELECT lower(trim(span_id)) AS span_id, min(nullif(lower(trim(paren
 t AS (SELECT span_id, parent_id, r.name AS name, r.kind AS kind, r.start_time AS start_time, r.end_time AS end_time, r.duration_ms AS duration_ms, r.status AS status, r.error AS error FROM s)"""
 HOURS = f"greatest((epoch_us(TIMESTAMPTZ '{AS_OF}+00') - epoch_us(accessed_at)) / 3.6e9, 0)"
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL if there is any."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 # Scans, projections, filters
@@ -102,14 +99,16 @@ def sc_edge_between(spark, d):
 
 @query(f"WITH {N} SELECT id FROM n WHERE node_type IN ('concept', 'fact') AND confidence >= 0.4 AND confidence <= 0.9 AND access_score >= 0.5 AND created_at >= TIMESTAMPTZ '2024-02-01 00:00:00+00'")
 def f_node_filter(spark, d):
-    return filters.NodeFilter(("concept", "fact"), 0.4, 0.9, 0.5, "2024-02-01 00:00:00").apply(nodes(spark, d)).select("id")
+    raw = table(spark, d, "nodes")
+    return current_rows(raw, filters.NodeFilter(("concept", "fact"), 0.4, 0.9, 0.5, "2024-02-01 00:00:00").condition(raw.columns)).select("id")
 
 
 @query(f"""WITH {N} SELECT id FROM n WHERE (coalesce(contains(lower(content), 'ledger'), false) OR coalesce(source IN ('web_crawl', 'api_import'), false))
 AND NOT (coalesce(confidence BETWEEN 0.2 AND 0.6, false)) AND coalesce(access_score > 0.3, false) AND NOT coalesce(node_type = 'entity', false)""")
 def f_filter_tree(spark, d):
     f = (filters.contains("content", "Ledger") | filters.one_of("source", ["web_crawl", "api_import"])) & ~filters.between("confidence", 0.2, 0.6) & filters.greater("access_score", 0.3) & ~filters.equals("node_type", "entity")
-    return filters.apply_filter(nodes(spark, d), f).select("id")
+    raw = table(spark, d, "nodes")
+    return current_rows(raw, filters.compile_filter(f, raw.columns)).select("id")
 
 
 @query(f"WITH {N} SELECT id, json_extract_string(attributes, '$.lang') AS lang FROM n WHERE json_valid(attributes) AND json_extract_string(attributes, '$.lang') = 'de'")
@@ -162,17 +161,17 @@ def enum_sources(spark, d):
 
 @query(f"WITH {N} SELECT id, round(access_score, 6) AS access_score FROM n WHERE contains(lower(content), 'ledger') AND coalesce(confidence > 0.5, false)")
 def paql_filter(spark, d):
-    return paql.run("find ledger where confidence > 0.5", nodes(spark, d)).select("id", F.round("access_score", 6).alias("access_score"))
+    return paql.run("find ledger where confidence > 0.5", table(spark, d, "nodes"), versions=True).select("id", F.round("access_score", 6).alias("access_score"))
 
 
 @query(f"WITH {N} SELECT id FROM n WHERE (coalesce(contains(lower(content), 'prompt'), false) OR coalesce(contains(lower(content), 'ledger'), false)) AND NOT coalesce(contains(lower(content), 'the'), false)")
 def paql_boolean(spark, d):
-    return paql.run("(prompt or ledger) and not the", nodes(spark, d)).select("id")
+    return paql.run("(prompt or ledger) and not the", table(spark, d, "nodes"), versions=True).select("id")
 
 
 @query(f"WITH {N} SELECT id FROM n WHERE contains(lower(content), 'memory') AND (coalesce(node_type IN ('fact', 'concept'), false) AND coalesce(access_score >= 0.5, false)) ORDER BY confidence ASC NULLS LAST, id LIMIT 25")
 def paql_sorted(spark, d):
-    return paql.run("search for memory where node_type in (fact, concept) and access_score >= 0.5 sort by confidence asc limit 25", nodes(spark, d)).select("id")
+    return paql.run("search for memory where node_type in (fact, concept) and access_score >= 0.5 sort by confidence asc limit 25", table(spark, d, "nodes"), versions=True).select("id")
 
 
 @query(f"WITH {N}, m AS (SELECT count(*) AS n FROM n WHERE contains(lower(content), 'memory')) SELECT n AS total_count, least(n, 10) AS returned, n > 10 AS truncated FROM m")
@@ -205,35 +204,49 @@ SELECT id, min(depth) AS depth FROM r WHERE id NOT IN (SELECT id FROM busy) GROU
 
 @query(_bfs_sql("SELECT DISTINCT source AS f, target AS t FROM a WHERE source <> target", 3))
 def g_bfs_forward(spark, d):
-    return graph.bfs(edges(spark, d, "expired", "seq"), nodes(spark, d, "updated_at"), [busiest(spark, d)], "forward", 3, None).select("id", "depth")
+    e, ids = graph_tables(spark, d)
+    return graph.bfs(e, ids, [busiest(spark, d, e, ids)], "forward", 3, None).select("id", "depth")
 
 
 @query(_bfs_sql("SELECT source AS f, target AS t FROM a WHERE source <> target UNION SELECT target, source FROM a WHERE source <> target", 2))
 def g_bfs_both(spark, d):
-    return graph.bfs(edges(spark, d, "expired", "seq"), nodes(spark, d, "updated_at"), [busiest(spark, d)], "both", 2, None).select("id", "depth")
+    e, ids = graph_tables(spark, d)
+    return graph.bfs(e, ids, [busiest(spark, d, e, ids)], "both", 2, None).select("id", "depth")
 
 
 @query(_bfs_sql("SELECT DISTINCT source AS f, target AS t FROM a WHERE source <> target AND relation IN ('causes', 'is_a')", 4))
 def g_bfs_relations(spark, d):
-    return graph.bfs(edges(spark, d, "expired", "seq"), nodes(spark, d, "updated_at"), [busiest(spark, d)], "forward", 4, None, ["causes", "is_a"]).select("id", "depth")
+    e, ids = graph_tables(spark, d)
+    return graph.bfs(e, ids, [busiest(spark, d, e, ids)], "forward", 4, None, ["causes", "is_a"]).select("id", "depth")
 
 
 @query(f"""WITH {N}, {E}, {BUSY}, hop AS (SELECT target AS id, min(seq) AS seq FROM a WHERE source IN (FROM busy) AND target <> source AND target IN (SELECT id FROM n) GROUP BY 1)
 SELECT id, 1 AS depth, row_number() OVER (ORDER BY seq, id) AS place FROM hop""")
 def g_bfs_capped(spark, d):
     """The soft cap lets the children of the first parent through whole."""
-    return graph.bfs(edges(spark, d, "expired", "seq"), nodes(spark, d, "updated_at"), [busiest(spark, d)], "forward", 3, 1).select("id", "depth", "place")
+    e, ids = graph_tables(spark, d)
+    return graph.bfs(e, ids, [busiest(spark, d, e, ids)], "forward", 3, 1).select("id", "depth", "place")
 
 
-@query()
-def g_dfs(spark, d):
-    return graph.dfs(edges(spark, d, "expired", "seq"), nodes(spark, d, "updated_at"), busiest(spark, d), "forward", 3, 100)
+_QUIET = "quiet AS (SELECT source AS id FROM a WHERE source <> target AND source IN (SELECT id FROM n) AND target IN (SELECT id FROM n) GROUP BY source HAVING count(DISTINCT target) BETWEEN 3 AND 9 ORDER BY source LIMIT 1)"
 
 
-def _far(spark, d) -> tuple[str, str]:
-    """The start, and the smallest node that is as far away as any within four steps."""
-    start = busiest(spark, d)
-    row = graph.bfs(edges(spark, d, "expired", "seq"), nodes(spark, d, "updated_at"), [start], "forward", 3, None).orderBy(F.desc("depth"), "id").first()
+@query(f"""WITH RECURSIVE {N}, {E}, {_QUIET}, r AS (SELECT id, 0 AS depth FROM quiet UNION SELECT a.target, r.depth + 1 FROM r JOIN a ON a.source = r.id JOIN n ON n.id = a.target WHERE r.depth < 2 AND a.source <> a.target)
+SELECT id, min(depth) AS depth FROM r WHERE id NOT IN (FROM quiet) GROUP BY id""")
+def g_dfs(spark, d):
+    """Within two steps a depth-first search finds what a breadth-first one does; the order is tested on small graphs."""
+    e, ids = graph_tables(spark, d)
+    live = e.where(~F.coalesce("expired", F.lit(False)) & (F.col("source") != F.col("target")))
+    for side in ("source", "target"):
+        live = live.join(ids.withColumnRenamed("id", side), side, "left_semi")
+    row = live.groupBy("source").agg(F.countDistinct("target").alias("n")).where("n between 3 and 9").orderBy("source").first()
+    return graph.dfs(e, ids, row.source if row else "", "forward", 2, 10_000).select("id", "depth")
+
+
+def _far(spark, d, e, ids) -> tuple[str, str]:
+    """The start, and the smallest node that is as far away as any within three steps."""
+    start = busiest(spark, d, e, ids)
+    row = graph.bfs(e, ids, [start], "forward", 3, None).orderBy(F.desc("depth"), "id").first()
     return start, row.id if row else start
 
 
@@ -245,36 +258,40 @@ p AS (SELECT id AS here, [id] AS path FROM busy UNION ALL SELECT w.t, list_appen
 
 @query(f"WITH RECURSIVE {_FAR} SELECT array_to_string(path, '/') AS path, len(path) - 1 AS hops FROM p WHERE here IN (FROM goal) ORDER BY len(path), path LIMIT 1")
 def g_shortest_path(spark, d):
-    start, end = _far(spark, d)
-    return graph.shortest_path(edges(spark, d), nodes(spark, d, "updated_at"), start, end, 5).select(F.array_join("path", "/").alias("path"), F.col("hops").cast("long").alias("hops"))
+    e, ids = graph_tables(spark, d)
+    return graph.shortest_path(e, ids, *_far(spark, d, e, ids), 5).select(F.array_join("path", "/").alias("path"), F.col("hops").cast("long").alias("hops"))
 
 
 @query(f"WITH RECURSIVE {_FAR} SELECT array_to_string(path, '/') AS path FROM p WHERE here IN (FROM goal)")
 def g_all_paths(spark, d):
-    start, end = _far(spark, d)
-    return graph.all_paths(edges(spark, d, "expired", "seq"), nodes(spark, d, "updated_at"), start, end, 4).select(F.array_join("path", "/").alias("path")).distinct()
-
-
-@query()
+    e, ids = graph_tables(spark, d)
+    return graph.all_paths(e, ids, *_far(spark, d, e, ids), 4).select(F.array_join("path", "/").alias("path")).distinct()
+
+
+@query(f"""WITH RECURSIVE {_FAR}, way AS (SELECT path FROM p WHERE here IN (FROM goal) ORDER BY len(path), path LIMIT 1),
+one AS (SELECT source, target, arg_min(relation, seq) AS relation, arg_min(weight, seq) AS weight FROM e GROUP BY 1, 2),
+steps AS (SELECT path, i, one.relation, one.weight FROM way, unnest(range(1, len(path))) AS u(i) JOIN one ON one.source = path[i] AND one.target = path[i + 1]),
+lab AS (SELECT i, CASE WHEN length(n.content) > 20 THEN substring(n.content, 1, 17) || '...' ELSE n.content END AS label FROM way, unnest(range(1, len(path) + 1)) AS u(i) JOIN n ON n.id = path[i]),
+said AS (SELECT steps.*, a1.label || ' ' || CASE relation {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in graph.EDGE_VERBS.items())} ELSE replace(relation, '_', ' ') END || ' ' || a2.label AS words
+  FROM steps JOIN lab a1 ON a1.i = steps.i JOIN lab a2 ON a2.i = steps.i + 1)
+SELECT array_to_string(any_value(path), '/') AS path, round(product(weight), 6) AS confidence, least(min(weight), 1e9) AS weakest, CASE WHEN bool_and(relation = 'causes') THEN 'causal' WHEN bool_and(relation IN ('is_part_of', 'is_a')) THEN 'hierarchical'
+WHEN bool_and(relation = 'happened_after') THEN 'temporal' ELSE 'hybrid' END AS path_type, string_agg(words, ', which ' ORDER BY i) AS explanation FROM said""")
 def g_explain(spark, d):
-    start, end = _far(spark, d)
-    return graph.explain_relationship(edges(spark, d), nodes(spark, d, "content"), start, end).select(F.array_join("path", "/").alias("path"), F.round("confidence", 6).alias("confidence"), "weakest", "path_type", "explanation")
+    e, ids = graph_tables(spark, d)
+    start, end = _far(spark, d, e, ids)
+    return graph.explain_relationship(e, nodes(spark, d, "content"), start, end).select(F.array_join("path", "/").alias("path"), F.round("confidence", 6).alias("confidence"), "weakest", "path_type", "explanation")
 
 
 @query(f"""WITH {N}, {E}, one AS (SELECT source, target, arg_min(relation, seq) AS relation, arg_min(weight, seq) AS weight FROM a GROUP BY 1, 2),
 p AS (SELECT x.source AS n1, x.target AS n2, y.target AS n3, x.weight * y.weight AS c, least(x.weight, y.weight) AS low,
   CASE WHEN x.relation = 'causes' AND y.relation = 'causes' THEN 'causal' WHEN x.relation IN ('is_part_of', 'is_a') AND y.relation IN ('is_part_of', 'is_a') THEN 'hierarchical'
   WHEN x.relation = 'happened_after' AND y.relation = 'happened_after' THEN 'temporal' ELSE 'hybrid' END AS kind
-  FROM one x JOIN one y ON x.target = y.source WHERE x.relation = 'causes' AND x.weight BETWEEN 0 AND 1 AND y.weight BETWEEN 0 AND 1)
+  FROM one x JOIN one y ON x.target = y.source WHERE x.weight BETWEEN 0 AND 1 AND y.weight BETWEEN 0 AND 1)
 SELECT kind AS path_type, count(*) AS n, round(avg(c), 6) AS avg_confidence, round(avg(low), 6) AS avg_weakest FROM p GROUP BY 1""")
 def g_two_step_paths(spark, d):
-    """All two-step paths that begin with a causes edge: confidence, weakest edge, type."""
-    one = graph.edge_between(graph.usable_edges(edges(spark, d, "weight", "expired", "seq"))).where("weight between 0 and 1").select("source", "target", "relation", "weight")
-    x = one.where("relation = 'causes'").select("source", F.col("target").alias("mid"), "relation", "weight")
-    y = one.select(F.col("source").alias("mid"), F.col("target").alias("end"), F.col("relation").alias("r2"), F.col("weight").alias("w2"))
-    steps = F.array(F.struct(F.col("relation").alias("relation"), F.col("weight").alias("weight")), F.struct(F.col("r2").alias("relation"), F.col("w2").alias("weight")))
-    p = x.join(y, "mid").withColumn("steps", steps)
-    return p.groupBy(graph.path_type(F.col("steps")).alias("path_type")).agg(F.count("*").alias("n"), F.round(F.avg(graph.confidence(F.col("steps"))), 6).alias("avg_confidence"), F.round(F.avg(graph.weakest(F.col("steps"))), 6).alias("avg_weakest"))
+    """All two-step paths: number, mean confidence and mean weakest edge by type."""
+    one = graph.edge_between(graph.usable_edges(edges(spark, d, "weight", "expired", "seq"))).where("weight between 0 and 1")
+    return graph.two_step_summary(one).select("path_type", "n", F.round("avg_confidence", 6).alias("avg_confidence"), F.round("avg_weakest", 6).alias("avg_weakest"))
 
 
 @query(f"""WITH {N}, {E}, {BUSY}, b AS (SELECT id FROM busy) SELECT source, target, relation FROM e WHERE source IN (FROM b) OR target IN (FROM b)""")
@@ -291,7 +308,7 @@ def g_traverse_edges(spark, d):
 # Vectors and retrieval
 
 _Q = f"""{N}, u AS (SELECT id, embedding::DOUBLE[] AS v FROM n WHERE len(embedding) = 64),
-q AS (SELECT v FROM u WHERE len(list_filter(v, x -> isnan(x))) = 0 AND len(list_filter(v, x -> x <> 0)) > 0 ORDER BY id LIMIT 1),
+q AS (SELECT v FROM u WHERE len(list_filter(v, lambda x: isnan(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0 ORDER BY id LIMIT 1),
 c0 AS (SELECT u.id, list_cosine_similarity(u.v, q.v) AS c FROM u, q), c AS (SELECT id, CASE WHEN c IS NULL OR isnan(c) OR isinf(c) THEN 0 ELSE c END AS c FROM c0)"""
 
 
@@ -305,13 +322,31 @@ def v_knn_filtered(spark, d):
     return vector_search.knn_filtered(nodes(spark, d, "embedding", "node_type"), query_vector(spark, d), filters.equals("node_type", "fact"), 20).select("id", F.round("score", 6).alias("score"))
 
 
-@query()
+def _fiftieth(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(usable vectors of all nodes, those of them whose row number by hash is divisible by 50): ids aren't numbers here."""
+    fine = (F.size("embedding") == 64) & F.forall("embedding", lambda x: ~F.isnan(x)) & F.exists("embedding", lambda x: x != 0)
+    rows = materialize(nodes(spark, d, "embedding").where(fine), "vectors")
+    return rows, rows.where(F.pmod(F.xxhash64("id"), F.lit(50)) == 0)
+
+
+@query("SELECT true AS recall_ok")
 def v_ivf(spark, d):
-    index = vector_search.IVF(nodes(spark, d, "embedding"), vector_search.IndexParams("ivf"))
-    return index.search(query_vector(spark, d), 10).select("id", F.round("score", 6).alias("score"))
+    """Recall at 10 of the index with its production parameters, for every fiftieth node against all, is at least 0.9."""
+    rows, asked = _fiftieth(spark, d)
+    found = vector_search.IVF(rows, vector_search.IndexParams("ivf")).search_many(asked, 10).select("query_id", "id")
+    exact = vector_search.knn_many(rows, asked, 10).select("query_id", "id", F.lit(1).alias("exact"))
+    return exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "id"], "left").agg((F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.sum("exact")).alias("recall_ok"))
 
 
-@query(f"WITH {_Q} SELECT x.id, round(list_cosine_similarity(x.v, y.v), 5) AS cosine FROM (SELECT n.id, n.chunk_index, n.document_id, v FROM n JOIN u USING (id)) x JOIN (SELECT n.chunk_index, n.document_id, v FROM n JOIN u USING (id)) y ON x.document_id = y.document_id AND y.chunk_index = x.chunk_index + 1 WHERE len(list_filter(x.v, z -> isnan(z))) = 0 AND len(list_filter(y.v, z -> isnan(z))) = 0 AND len(list_filter(x.v, z -> z <> 0)) > 0 AND len(list_filter(y.v, z -> z <> 0)) > 0")
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) = 64), p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.e, v.e) AS c FROM v q, v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, id, round(c, 6) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM p) WHERE rank <= 10""")
+def v_knn_many(spark, d):
+    """Every row whose id is divisible by 50 against all rows."""
+    e = table(spark, d, "embeddings")
+    return vector_search.knn_many(e, e.where("vec_id % 50 = 0"), 10, id_col="vec_id").select("query_id", "id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+@query(f"WITH {_Q} SELECT x.id, round(list_cosine_similarity(x.v, y.v), 5) AS cosine FROM (SELECT n.id, n.chunk_index, n.document_id, v FROM n JOIN u USING (id)) x JOIN (SELECT n.chunk_index, n.document_id, v FROM n JOIN u USING (id)) y ON x.document_id = y.document_id AND y.chunk_index = x.chunk_index + 1 WHERE len(list_filter(x.v, lambda z: isnan(z))) = 0 AND len(list_filter(y.v, lambda z: isnan(z))) = 0 AND len(list_filter(x.v, lambda z: z <> 0)) > 0 AND len(list_filter(y.v, lambda z: z <> 0)) > 0")
 def v_next_chunk(spark, d):
     """Cosine of each chunk with the next one of its document."""
     fine = lambda c: (F.size(c) == 64) & F.forall(c, lambda x: ~F.isnan(x)) & F.exists(c, lambda x: x != 0)
@@ -350,61 +385,91 @@ h1 AS (SELECT t AS id, max(weight) AS weight FROM w WHERE f IN (FROM busy) AND t
 SELECT id, 0 AS hop, 1.0 AS weight, 0.9 AS score FROM busy UNION ALL SELECT id, 1, round(weight, 6), round((0.7 * 0.9 + 0.3 * weight) * 0.9, 6) FROM h1""")
 def rag_expand(spark, d):
     seeds = spark.createDataFrame([(busiest(spark, d), 0.9)], "id string, score double")
-    out = rag.expand(seeds, edges(spark, d, "weight", "expired", "seq"), 1, 0.3, 1_000_000, 1_000_000)
+    out = rag.expand(seeds, edges(spark, d, "weight", "expired", "seq"), 1, 0.3, None, None)
     return out.select("id", "hop", F.round("weight", 6).alias("weight"), F.round("score", 6).alias("score"))
 
 
-def _context_rows(spark, d) -> DataFrame:
-    return nodes(spark, d, "content", "node_type", "access_score").where("content is not null and access_score is not null and not isnan(access_score)").select("id", "content", "node_type", F.col("access_score").alias("score"), F.lit(0).alias("hop_distance")).orderBy(F.desc("score"), "id").limit(40)
+def _scored(spark, d) -> DataFrame:
+    """All nodes with content and a score."""
+    return nodes(spark, d, "content", "node_type", "access_score").where("content is not null and access_score is not null and not isnan(access_score)").select("id", "content", "node_type", F.col("access_score").alias("score"), F.lit(0).alias("hop_distance"))
+
+
+def _retrieved(spark, d) -> DataFrame:
+    """A retrieval result to put into a format; its top_k is the feature."""
+    hits = rag.vector_retrieve(nodes(spark, d, "embedding"), query_vector(spark, d), rag.RetrievalConfig(mode="vector", min_relevance=0.0, max_vector_results=30))
+    return hits.join(nodes(spark, d, "content", "node_type").where("content is not null"), "id").select("id", "content", "node_type", "score", "hop_distance")
+
 
+_ALL = f"{N}, x AS (SELECT id, content, access_score AS score, row_number() OVER (ORDER BY access_score DESC, id) AS r FROM n WHERE content IS NOT NULL AND access_score IS NOT NULL)"
+_HITS = f"{_Q}, top AS (SELECT id, 0.6 * c + 0.4 AS score FROM c WHERE c >= 0 ORDER BY c DESC, id LIMIT 30), x AS (SELECT n.id, content, node_type, score, row_number() OVER (ORDER BY score DESC, n.id) AS r FROM top JOIN n USING (id) WHERE content IS NOT NULL)"
 
-_CTX = f"{N}, x AS (SELECT id, content, node_type, access_score AS score, row_number() OVER (ORDER BY access_score DESC, id) AS r FROM n WHERE content IS NOT NULL AND access_score IS NOT NULL ORDER BY access_score DESC, id LIMIT 40)"
 
+def _shown(line: str, between: str, head: str = "''") -> str:
+    return f"WITH {_HITS} SELECT {head} || string_agg({line}, {between} ORDER BY r) AS context FROM x"
 
-@query(f"WITH {_CTX}, y AS (SELECT id, r, sum(strlen(content) // 4) OVER (ORDER BY r) AS t FROM x) SELECT id, t::BIGINT AS context_tokens FROM y WHERE t <= 1500")
+
+_NL = "chr(10)"
+
+
+@query(f"WITH {_ALL}, y AS (SELECT id, r, sum(strlen(content) // 4) OVER (ORDER BY r) AS t FROM x) SELECT id, t::BIGINT AS context_tokens FROM y WHERE t <= 100000")
 def rag_fit_context(spark, d):
-    return rag.fit_context(_context_rows(spark, d), 1500).select("id", "context_tokens")
+    return rag.fit_context(_scored(spark, d), 100_000).select("id", "context_tokens")
+
+
+@query(_shown("'[' || r || '] ' || content || ' (relevance: ' || printf('%.2f', score) || ')'", f"{_NL} || {_NL}"))
+def fm_default(spark, d):
+    return rag.format_context(_retrieved(spark, d), "default")
 
 
-@query(f"WITH {_CTX} SELECT string_agg(content, ' ' ORDER BY r) AS context FROM x WHERE content <> ''")
+@query(f"WITH {_HITS} SELECT string_agg(content, ' ' ORDER BY r) AS context FROM x WHERE content <> ''")
 def fm_compact(spark, d):
-    return rag.format_context(_context_rows(spark, d), "compact")
+    return rag.format_context(_retrieved(spark, d), "compact")
 
 
-@query(f"WITH {_CTX} SELECT string_agg(content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY r) AS context FROM x WHERE content <> ''")
+@query(f"WITH {_HITS} SELECT string_agg(content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY r) AS context FROM x WHERE content <> ''")
 def fm_flat(spark, d):
-    return rag.format_context(_context_rows(spark, d), "flat")
+    return rag.format_context(_retrieved(spark, d), "flat")
 
 
-@query()
+@query(_shown(f"'[' || r || ']' || {_NL} || 'Relevance: ' || printf('%.2f', score) || {_NL} || 'Type: ' || node_type || {_NL} || 'Distance: 0' || {_NL} || 'Content: ' || content", f"{_NL} || {_NL}", f"'=== Context ===' || {_NL} || {_NL}"))
 def fm_structured(spark, d):
-    return rag.format_context(_context_rows(spark, d), "structured")
+    return rag.format_context(_retrieved(spark, d), "structured")
 
 
-@query()
+@query(_shown(f"'### ' || r || '. ' || CASE WHEN length(content) > 60 THEN substring(content, 1, 57) || '...' ELSE content END || {_NL} || {_NL} || '**Relevance:** ' || printf('%.2f', score) || {_NL} || {_NL} || '**Type:** ' || node_type || {_NL} || {_NL} || content", f"{_NL} || {_NL}", f"'## Context' || {_NL} || {_NL}"))
 def fm_markdown(spark, d):
-    return rag.format_context(_context_rows(spark, d), "markdown")
+    return rag.format_context(_retrieved(spark, d), "markdown")
 
 
-@query()
+@query(f"WITH {_HITS} SELECT r AS rank, id, content, node_type, round(score, 6) AS score, 0 AS hop_distance FROM x")
 def fm_json(spark, d):
-    return rag.format_context(_context_rows(spark, d), "json")
+    """The JSON context read again, so that values are compared and not spacing."""
+    text = rag.format_context(_retrieved(spark, d), "json")
+    items = text.select(F.posexplode(F.from_json("context", "array<struct<id:string,content:string,node_type:string,score:double,hop_distance:int>>")).alias("at", "x"))
+    return items.select((F.col("at") + 1).cast("long").alias("rank"), "x.*")
 
 
-@query(f"WITH {_CTX}, z AS (SELECT id, row_number() OVER (PARTITION BY substring(content, 1, 50) ORDER BY score DESC, id) AS k FROM x) SELECT id FROM z WHERE k = 1")
+@query(f"WITH {_ALL}, z AS (SELECT id, row_number() OVER (PARTITION BY substring(content, 1, 50) ORDER BY score DESC, id) AS k FROM x) SELECT id FROM z WHERE k = 1")
 def rag_compress_dedup(spark, d):
-    return rag.compress(_context_rows(spark, d), 1, "deduplicate").select("id")
+    return rag.compress(_scored(spark, d), 1, "deduplicate").select("id")
 
 
-@query(f"WITH {_CTX} SELECT id FROM x WHERE r <= (SELECT count(*) // 2 FROM x)")
+@query(f"WITH {_ALL} SELECT id FROM x WHERE r <= (SELECT count(*) // 2 FROM x)")
 def rag_compress_top(spark, d):
-    return rag.compress(_context_rows(spark, d), 1, "top_only").select("id")
+    return rag.compress(_scored(spark, d), 1, "top_only").select("id")
+
+
+@query(f"WITH {_ALL} SELECT id FROM x WHERE r > (SELECT count(*) // 2 FROM x)")
+def rag_removed(spark, d):
+    rows = materialize(_scored(spark, d), "scored")
+    return rag.removed(rows, rag.compress(rows, 1, "cluster_summary"))
 
 
 @query(f"WITH {N} SELECT 'document' AS level, count(*) AS n FROM n WHERE node_type IN ('entity', 'concept') UNION ALL SELECT 'paragraph', count(*) FROM n WHERE node_type IN ('entity', 'concept', 'fact') UNION ALL SELECT 'sentence', count(*) FROM n WHERE node_type IN ('entity', 'concept', 'fact', 'raw_chunk')")
 def rag_levels(spark, d):
     n = nodes(spark, d, "node_type")
-    return n.agg(*(F.count_if(F.col("node_type").isin(*v)).alias(k) for k, v in rag.LEVELS.items())).select(F.explode(F.map_from_arrays(F.array(*(F.lit(k) for k in rag.LEVELS)), F.array(*rag.LEVELS))).alias("level", "n"))
+    counts = [rag.level_filter(n, level).agg(F.lit(level).alias("level"), F.count("*").alias("n")) for level in rag.LEVELS]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 # Aggregates of the store
@@ -482,44 +547,78 @@ def md_prune(spark, d):
 _SENT = r"regexp_replace(text, '([.!?])( |\n|$)', '\1' || chr(1) || '\2', 'g')"
 
 
-@query(f"WITH x AS (SELECT doc_id, list_filter(list_transform(string_split({_SENT}, chr(1)), s -> regexp_replace(s, '^\\s+|\\s+$', '', 'g')), s -> s <> '') AS l FROM documents) SELECT doc_id, len(l) AS sentences, list_sum(list_transform(l, s -> length(s)))::BIGINT AS characters FROM x")
+@query(f"WITH x AS (SELECT doc_id, list_filter(list_transform(string_split({_SENT}, chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS l FROM documents) SELECT doc_id, len(l) AS sentences, list_sum(list_transform(l, lambda s: length(s)))::BIGINT AS characters FROM x")
 def ch_sentences(spark, d):
     s = text.sentences(F.col("text"))
     return table(spark, d, "documents").select("doc_id", s.alias("l")).select("doc_id", F.size("l").cast("long").alias("sentences"), F.when(F.size("l") > 0, F.aggregate(F.transform("l", lambda x: F.length(x).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)).alias("characters"))
 
 
-@query("WITH x AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), s -> regexp_replace(s, '^\\s+|\\s+$', '', 'g')), s -> s <> '') AS l FROM documents) SELECT doc_id, len(l) AS paragraphs, l[1] AS first FROM x")
+@query("WITH x AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS l FROM documents) SELECT doc_id, len(l) AS paragraphs, l[1] AS first FROM x")
 def ch_paragraphs(spark, d):
     return table(spark, d, "documents").select("doc_id", text.paragraphs(F.col("text")).alias("l")).select("doc_id", F.size("l").cast("long").alias("paragraphs"), F.get("l", F.lit(0)).alias("first"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+'), x -> x <> '')) AS a,
-list_distinct(list_filter(string_split_regex(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), '\\s+'), x -> x <> '')) AS b FROM documents WHERE title IS NOT NULL AND text IS NOT NULL)
+@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+'), lambda x: x <> '')) AS a,
+list_distinct(list_filter(string_split_regex(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), '\\s+'), lambda x: x <> '')) AS b FROM documents WHERE title IS NOT NULL AND text IS NOT NULL)
 SELECT doc_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS jaccard FROM w""")
 def ch_title_jaccard(spark, d):
     t = table(spark, d, "documents").where("title is not null and text is not null")
     return t.select("doc_id", F.round(text.jaccard(text.words(F.col("text")), text.words(F.col("title"))), 6).alias("jaccard"))
 
 
-@query()
+_TRIM = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+_STOP = "CASE WHEN least({st} + 1000, n) >= n THEN n ELSE (SELECT CASE WHEN nl > {st} + 100 THEN nl WHEN sp > {st} + 100 THEN sp ELSE e END FROM (SELECT {st} + 1000 AS e, CASE WHEN instr(substring(s, {st} + 901, 100), chr(10)) > 0 THEN {st} + 900 + instr(substring(s, {st} + 901, 100), chr(10)) ELSE 0 END AS nl, CASE WHEN instr(reverse(substring(s, {st} + 2, 999)), ' ') > 0 THEN {st} + 1000 - instr(reverse(substring(s, {st} + 2, 999)), ' ') ELSE 0 END AS sp)) END"
+_FIXED = f"""t AS (SELECT doc_id, document_id, {_TRIM} AS s, length({_TRIM}) AS n FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, 0 AS idx, 0::BIGINT AS st, {_STOP.format(st="0")} AS en FROM t WHERE n > 0
+  UNION ALL SELECT doc_id, idx + 1, nx, {_STOP.format(st="nx")} FROM (SELECT w.doc_id, w.idx, CASE WHEN w.en + 900 < t.n THEN w.en - 100 ELSE w.en END AS nx, t.s, t.n FROM w JOIN t ON t.doc_id = w.doc_id WHERE w.en < t.n))"""
+
+
+@query(f"WITH RECURSIVE {_FIXED} SELECT w.doc_id, idx, st::INT AS range_start, en::INT AS range_end, substring(s, st + 1, en - st) AS content FROM w JOIN t ON t.doc_id = w.doc_id")
 def ch_fixed(spark, d):
-    return chunking.chunk_fixed(table(spark, d, "documents"), "doc_id", "text")
+    return chunking.chunk_fixed(table(spark, d, "documents"), "doc_id", "text").where("error is null").select("doc_id", "idx", "range_start", "range_end", "content")
+
 
+def _semantic_sql(least: int, most: int, threshold: float) -> str:
+    """Sentences with their bags of words, cuts by similarity, then groups by a walk over the sentences."""
+    words = r"list_distinct(list_filter(string_split_regex(x, '\s+'), lambda y: y <> ''))"
+    bag = lambda lo, hi: f"list_distinct(flatten([{lo}, {hi}]))"
+    return rf"""src AS (SELECT doc_id, {_TRIM} AS s FROM documents WHERE text IS NOT NULL),
+parts AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(s, '([.!?])( |\n|$)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM src WHERE s <> '' AND strlen(s) >= {least}),
+sent AS (SELECT doc_id, i, l[i] AS x, strlen(l[i]) AS size, {words.replace("(x,", "(l[i],")} AS bag FROM parts, unnest(range(1, len(l) + 1)) AS u(i)),
+near AS (SELECT a.doc_id, a.i, {bag("coalesce(b2.bag, [])", "b1.bag")} AS before, {bag("a.bag", "coalesce(a2.bag, [])")} AS after FROM sent a JOIN sent b1 ON b1.doc_id = a.doc_id AND b1.i = a.i - 1 LEFT JOIN sent b2 ON b2.doc_id = a.doc_id AND b2.i = a.i - 2 LEFT JOIN sent a2 ON a2.doc_id = a.doc_id AND a2.i = a.i + 1),
+cut AS (SELECT doc_id, i FROM near WHERE CASE WHEN len(before) = 0 OR len(after) = 0 THEN 0 ELSE len(list_intersect(before, after)) / len({bag("before", "after")}) END < {threshold}),
+marked AS (SELECT sent.*, cut.i IS NOT NULL AS edge FROM sent LEFT JOIN cut USING (doc_id, i)),
+walk AS (SELECT doc_id, i, 0 AS idx, size FROM marked WHERE i = 1
+  UNION ALL SELECT m.doc_id, m.i, CASE WHEN w.size >= {least} AND (w.size + m.size > {most} OR m.edge) THEN w.idx + 1 ELSE w.idx END, CASE WHEN w.size >= {least} AND (w.size + m.size > {most} OR m.edge) THEN m.size ELSE w.size + m.size END FROM walk w JOIN marked m ON m.doc_id = w.doc_id AND m.i = w.i + 1),
+grouped AS (SELECT walk.doc_id, idx, string_agg(x, ' ' ORDER BY walk.i) AS content FROM walk JOIN sent USING (doc_id, i) GROUP BY 1, 2)"""
 
-@query()
+
+@query(f"WITH RECURSIVE {_semantic_sql(100, 1000, 0.3)} SELECT doc_id, idx, content FROM grouped")
 def ch_semantic(spark, d):
-    return chunking.chunk_semantic(table(spark, d, "documents"), "doc_id", "text")
+    return chunking.chunk_semantic(table(spark, d, "documents"), "doc_id", "text").where("error is null").select("doc_id", "idx", "content")
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_semantic_sql(100, 1000, 0.3)}, cutup AS (SELECT doc_id, idx, list_filter(list_transform(string_split(regexp_replace(content, '([.!?])( |
+|$)', '' || chr(1) || '', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM grouped)
+SELECT doc_id, 0 AS level, 1 AS pieces, (SELECT min(length(s)) FROM src WHERE src.doc_id = grouped.doc_id) AS characters FROM grouped GROUP BY doc_id UNION ALL SELECT doc_id, 1, count(*), sum(length(content)) FROM grouped GROUP BY doc_id
+UNION ALL SELECT doc_id, 2, NULL, sum(list_sum(list_transform(l, lambda x: length(x)))) FROM cutup GROUP BY doc_id""")
 def ch_hierarchical(spark, d):
-    return chunking.chunk_hierarchical(table(spark, d, "documents"), "doc_id", "text")
+    """By document and level: pieces, and how much text they hold (the document itself: its length)."""
+    rows = chunking.chunk_hierarchical(table(spark, d, "documents"), "doc_id", "text").where("error is null")
+    long = F.when(F.col("level") == 0, F.col("range_end")).otherwise(F.length("content"))
+    return rows.groupBy("doc_id", "level").agg(F.when(F.first("level") < 2, F.count("*")).alias("pieces"), F.sum(long).alias("characters"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_FIXED} SELECT lower(trim(document_id)) || '#' || idx AS source, lower(trim(document_id)) AS target, 'is_part_of' AS relation, idx::BIGINT AS seq FROM w JOIN t ON t.doc_id = w.doc_id")
 def ch_ingest_edges(spark, d):
     docs = table(spark, d, "documents").select(norm_id("document_id").alias("document_id"), "title", "text")
-    return chunking.ingest_documents(docs, AS_OF)[1]
+    return chunking.ingest_documents(docs, AS_OF, "fixed")[1].select("source", "target", "relation", "seq")
+
+
+@query(f"WITH RECURSIVE {_FIXED} SELECT lower(trim(document_id)) AS id, 'concept' AS node_type, coalesce(title, '') || ': ' || coalesce(text, '') AS content FROM documents UNION ALL SELECT lower(trim(document_id)) || '#' || idx, 'raw_chunk', substring(s, st + 1, en - st) FROM w JOIN t ON t.doc_id = w.doc_id")
+def ch_ingest_nodes(spark, d):
+    docs = table(spark, d, "documents").select(norm_id("document_id").alias("document_id"), "title", "text")
+    return chunking.ingest_documents(docs, AS_OF, "fixed")[0].select("id", "node_type", "content")
 
 
 # Traces
@@ -541,9 +640,9 @@ def tr_errors(spark, d):
     return traces.errors_by_type(spans(spark, d))
 
 
-@query(f"WITH {S} SELECT time_bucket(INTERVAL 1 DAY, start_time) AS window_start, count(*) AS spans, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, round(avg(duration_ms), 6) AS avg_ms FROM t GROUP BY 1")
+@query(f"WITH {S} SELECT time_bucket(INTERVAL 1 DAY, start_time) AS window_start, count(*) AS spans, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, round(avg(duration_ms), 6) AS avg_ms, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms FROM t GROUP BY 1")
 def tr_windows(spark, d):
-    return traces.window_stats(spans(spark, d)).select("window_start", "spans", "completed", "failed", F.round("avg_ms", 6).alias("avg_ms"))
+    return traces.window_stats(spans(spark, d)).select("window_start", "spans", "completed", "failed", F.round("avg_ms", 6).alias("avg_ms"), "min_ms", "max_ms")
 
 
 @query(f"""WITH {S}, m AS (SELECT name, start_time, CASE WHEN start_time - lag(start_time) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM t WINDOW w AS (PARTITION BY name ORDER BY start_time)),
@@ -557,16 +656,14 @@ def tr_collector(spark, d):
     return traces.collector_stats(spans(spark, d)).withColumn("success_rate", F.round("success_rate", 6))
 
 
-@query(f"WITH {S} SELECT 'enter' AS event_type, count(*) AS n FROM t UNION ALL SELECT CASE WHEN status = 'failed' THEN 'error' ELSE 'exit' END, count(*) FROM t WHERE end_time IS NOT NULL GROUP BY 1")
+@query(f"WITH {S} SELECT 'enter' AS event_type, count(*) AS n FROM t UNION ALL SELECT CASE WHEN status = 'failed' THEN 'error' WHEN status = 'cancelled' THEN 'cancel' ELSE 'exit' END, count(*) FROM t WHERE end_time IS NOT NULL GROUP BY 1")
 def tr_events(spark, d):
     return traces.events_by_type(traces.trace_events(spans(spark, d)))
 
 
 @query(f"WITH {S} SELECT p.span_id AS parent, c.span_id AS child, p.name AS parent_name, c.name AS child_name FROM t c JOIN t p ON c.parent_id = p.span_id")
 def tr_parent_child(spark, d):
-    s = spans(spark, d)
-    p = s.select(F.col("span_id").alias("parent"), F.col("name").alias("parent_name"))
-    return s.select(F.col("span_id").alias("child"), F.col("parent_id").alias("parent"), F.col("name").alias("child_name")).join(p, "parent")
+    return traces.children_by_parent(spans(spark, d))
 
 
 @query(f"""WITH RECURSIVE {S}, x AS (SELECT c.span_id, c.span_id AS root_id, 0 AS depth FROM t c LEFT JOIN t p ON p.span_id = c.parent_id WHERE p.span_id IS NULL UNION ALL SELECT t.span_id, x.root_id, x.depth + 1 FROM x JOIN t ON t.parent_id = x.span_id)
@@ -575,9 +672,23 @@ def tr_lifecycle_stats(spark, d):
     return traces.lifecycle_stats(traces.lifecycle(spans(spark, d)))
 
 
-@query()
+_TREE = f"""{S}, x AS (SELECT c.span_id, c.span_id AS root_id, 0 AS depth FROM t c LEFT JOIN t p ON p.span_id = c.parent_id WHERE p.span_id IS NULL UNION ALL SELECT t.span_id, x.root_id, x.depth + 1 FROM x JOIN t ON t.parent_id = x.span_id)"""
+
+
+@query(f"""WITH RECURSIVE {_TREE} SELECT root_id, '    N' || replace(parent_id, '-', '') || ' --> N' || replace(span_id, '-', '') || '["' || name || '"]' AS line FROM x JOIN t USING (span_id) WHERE depth > 0""")
 def tr_mermaid_lines(spark, d):
-    return traces.mermaid_lines(traces.lifecycle(spans(spark, d)))
+    return traces.mermaid_lines(traces.lifecycle(spans(spark, d))).select("root_id", "line")
+
+
+@query(f"""WITH RECURSIVE {_TREE} SELECT root_id, repeat('  ', depth) || name || ' [' || coalesce(status, 'open') || ']' AS line FROM x JOIN t USING (span_id)""")
+def tr_text_lines(spark, d):
+    return traces.text_lines(traces.lifecycle(spans(spark, d))).select("root_id", "line")
+
+
+@query(f"""WITH RECURSIVE {_TREE} SELECT root_id, span_id, name, depth FROM x JOIN t USING (span_id)""")
+def tr_json_lines(spark, d):
+    tree = traces.lifecycle(spans(spark, d))
+    return traces.json_lines(tree.where("not in_loop")).select("root_id", "span_id", F.get_json_object("json", "$.name").alias("name"), F.get_json_object("json", "$.depth").cast("int").alias("depth"))
 
 
 @query(f"WITH {S} SELECT name, round(avg(duration_ms), 6) AS avg_ms FROM t WHERE duration_ms IS NOT NULL GROUP BY 1 ORDER BY avg(duration_ms) DESC, name LIMIT 5")

@@ -38,9 +38,10 @@ def access_scores(events: DataFrame, config: DecayConfig = DecayConfig(), start:
 
 
 def completed_spans(events: DataFrame, watermark: str = "1 hour", longest: str = "1 hour") -> DataFrame:
-    """Spans from enter and exit/error events, joined within the longest duration; state goes with the watermark."""
+    """Spans from enter and exit, error or cancel events, joined within the longest duration. Both sides wait in a
+    bounded buffer: what is older than the watermark and the longest duration is evicted."""
     enter = events.where(F.col("event_type") == "enter").select("span_id", "parent_id", "name", F.col("ts").alias("start_time")).withWatermark("start_time", watermark)
-    leave = events.where(F.col("event_type").isin("exit", "error")).select(F.col("span_id").alias("s"), F.col("ts").alias("end_time"), F.when(F.col("event_type") == "error", F.lit("failed")).otherwise(F.lit("completed")).alias("status"), "error").withWatermark("end_time", watermark)
+    leave = events.where(F.col("event_type").isin("exit", "error", "cancel")).select(F.col("span_id").alias("s"), F.col("ts").alias("end_time"), F.when(F.col("event_type") == "error", F.lit("failed")).when(F.col("event_type") == "cancel", F.lit("cancelled")).otherwise(F.lit("completed")).alias("status"), "error").withWatermark("end_time", watermark)
     on = (F.col("span_id") == F.col("s")) & (F.col("end_time") >= F.col("start_time")) & (F.col("end_time") <= F.col("start_time") + F.expr(f"interval {longest}"))
     joined = enter.join(leave, on)
     return joined.select("span_id", "parent_id", "name", "start_time", "end_time", ((F.unix_micros("end_time") - F.unix_micros("start_time")) / 1000).alias("duration_ms"), "status", "error")

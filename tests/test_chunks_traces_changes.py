@@ -13,7 +13,9 @@ def test_fixed():
     text = "word " * 400
     rows = C.fixed_windows(text, C.FixedConfig(100, 20))
     assert all(len(r[3]) <= 100 for r in rows) and rows[-1][2] == len(text.strip())
-    assert all(b[1] == a[2] - 20 for a, b in zip(rows, rows[1:]))
+    n = len(text.strip())
+    assert all(b[1] == (a[2] - 20 if a[2] + 80 < n else a[2]) for a, b in zip(rows, rows[1:]))  # no overlap once less than a step is left
+    assert C.fixed_windows("a" * 30 + "\n" + "b" * 90, C.FixedConfig(100, 10))[0][2] == 31  # behind the first line end
     assert len(C.fixed_windows("x\n" * 300, C.FixedConfig(50, 10))) > 5  # goes on where the window is full of line ends
     with pytest.raises(ValueError):
         C.FixedConfig(10, 10)
@@ -23,7 +25,7 @@ def test_semantic():
     assert C.semantic_groups("Short.", C.SemanticConfig())[0][-1] == "InputTooShort(100, 6)"
     text = "Cats like milk. Cats drink milk. Stocks fell today. Stocks rose again. " * 4
     rows = C.semantic_groups(text, C.SemanticConfig(10, 80, 0.3))
-    assert " ".join(r[3] for r in rows) == text.strip() and all(len(r[3]) <= 80 for r in rows)
+    assert " ".join(r[3] for r in rows) == text.strip() and all(sum(len(x) for x in C.split_sentences(r[3])) <= 80 for r in rows)
     one = C.semantic_groups(text, C.SemanticConfig(10, 10_000, 0.9, first_boundary_only=True))
     assert len(one) == 2
 

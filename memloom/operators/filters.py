@@ -65,21 +65,21 @@ def column_of(name: str, columns: list[str]) -> Column:
 
 
 def compile_filter(f: Filter, columns: list[str]) -> Column:
-    """Two-valued: null counts as false at every test."""
+    """A test for ``where``: null counts as false at every test, also under ``not``. Tests stay bare outside of it, so
+    that comparisons with stored columns reach the scan."""
     if f.op == "and":
         return reduce(lambda a, b: a & b, (compile_filter(p, columns) for p in f.parts), F.lit(True))
     if f.op == "or":
         return reduce(lambda a, b: a | b, (compile_filter(p, columns) for p in f.parts), F.lit(False))
     if f.op == "not":
-        return ~compile_filter(f.parts[0], columns)
+        return ~F.coalesce(compile_filter(f.parts[0], columns), F.lit(False))
     c, v = column_of(f.field, columns), f.value
     if f.field not in columns and isinstance(v, (int, float)) and not isinstance(v, bool):
         c = c.try_cast("double")
-    test = {
+    return {
         "eq": lambda: c == v, "ne": lambda: c != v, "gt": lambda: c > v, "ge": lambda: c >= v, "lt": lambda: c < v, "le": lambda: c <= v,
         "contains": lambda: contains_ci(c.cast("string"), str(v)), "in": lambda: c.isin(*v) if v else F.lit(False), "range": lambda: c.between(*v),
     }[f.op]()
-    return F.coalesce(test, F.lit(False))
 
 
 def apply_filter(df: DataFrame, f: Filter) -> DataFrame:

@@ -280,13 +280,13 @@ def predicate(node, columns: list[str]) -> Column | None:
     if isinstance(node, Empty):
         return F.lit(True)
     if isinstance(node, TextSearch):
-        return F.coalesce(contains_ci(F.col("content"), node.text), F.lit(False))
+        return contains_ci(F.col("content"), node.text)
     if isinstance(node, Filtered):
         base = predicate(node.base, columns)
         return None if base is None else base & compile_filter(node.test, columns)
     if isinstance(node, Not):
         part = predicate(node.part, columns)
-        return None if part is None else ~part
+        return None if part is None else ~F.coalesce(part, F.lit(False))
     if isinstance(node, (And, Or)):
         left, right = predicate(node.left, columns), predicate(node.right, columns)
         if left is None or right is None:

@@ -8,7 +8,7 @@ from memloom.functions import decay, enums, text, vector
 from memloom.operators import chunking, filters, graph, memory, mutations, paql, rag, traces, vector_search
 from memloom.plans.reference_queries import AS_OF, BUSY, HOURS, _ALL, _Q, E, N, S, as_of, busiest, edges, graph_tables, node_ids, nodes, query_vector, spans
 from memloom.plans.registry import registry
-from memloom.runtime import materialize, shared_dir
+from memloom.runtime import materialize, scratch
 from memloom.sources.tables import norm_id, norm_name, table
 
 QUERIES, SQL, query = registry()
@@ -337,7 +337,7 @@ def v_index_changes(spark, d):
     n = materialize(nodes(spark, d, "embedding", "node_type", "confidence").where("size(embedding) = 64"), "vectors")
     index = vector_search.IVF(n, vector_search.IndexParams("ivf")).remove(n.where("node_type = 'fact'").select("id"))
     index = index.upsert(n.where("node_type = 'fact' and confidence > 0.5"))
-    path = f"{shared_dir(spark)}/memloom/index-{n._materialized.rsplit('-', 1)[1]}"
+    path = scratch(spark, "index")
     index.save(path)
     return vector_search.IVF.open(spark, path).rows.agg(F.count("*").alias("n"))
 
@@ -470,8 +470,7 @@ def tr_timeline_total(spark, d):
 def tr_span_store(spark, d):
     """Appended in two parts, read back from a day on, merged and counted."""
     raw = table(spark, d, "spans").drop("attributes")
-    mark = materialize(raw.select("span_id").limit(1), "mark")._materialized.rsplit("-", 1)[1]
-    path = f"{shared_dir(spark)}/memloom/span-store-{mark}"
+    path = scratch(spark, "span-store")
     half = F.pmod(F.xxhash64("span_id"), F.lit(2)) == 0
     for part in (raw.where(half), raw.where(~half | F.col("span_id").isNull())):
         traces.append_spans(part, path)

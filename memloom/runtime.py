@@ -53,16 +53,22 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     partitioning with sampled bounds. The tables go when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/memloom/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
-    if not _WRITTEN:
-        atexit.register(_clean)
-    _WRITTEN.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._materialized = path
     return out
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, for tables that a query keeps by name; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/memloom/{label}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_clean)
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete materialized tables that nothing unfinished reads any more: loops call this for superseded
     states. Frames that aren't from ``materialize`` are left alone."""

@@ -59,6 +59,18 @@ def session_span_stats(spans: DataFrame, gap: str = "30 minutes", watermark: str
     return agg.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "name", "spans")
 
 
+def decay_ticks(spark, load, save, checkpoint: str, config: DecayConfig = DecayConfig(), every: str = "1 hour"):
+    """Starts the periodic decay: at every tick of processing time ``save(decay_update(load(), now))``. ``load`` gives the
+    nodes, ``save`` keeps them; the running query comes back."""
+    from memloom.operators.memory import decay_update
+
+    def tick(batch: DataFrame, number: int) -> None:
+        save(decay_update(load(), F.current_timestamp(), config))
+
+    source = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return source.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and gives its rows; for batch-like use and tests."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

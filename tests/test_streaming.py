@@ -36,3 +36,19 @@ def test_spans_and_windows(spark, tmp_path):
     assert tumbling.agg(F.sum("spans")).collect()[0][0] == 40 and tumbling.count() == 4
     sessions = P.run_to_table(P.session_span_stats(late, "5 minutes"), "sessions", str(tmp_path / "c3"), "complete")
     assert [r.spans for r in sessions.collect()] == [40]
+
+
+def test_decay_ticks(spark, tmp_path):
+    import time
+
+    from memloom.streaming.processors import decay_ticks
+
+    nodes = spark.createDataFrame([("a", 5.0, "2020-01-01"), ("b", 5.0, None)], "id string, access_score double, at string").select("id", "access_score", F.col("at").cast("timestamp").alias("accessed_at"))
+    saved = []
+    query = decay_ticks(spark, lambda: nodes, lambda df: saved.append({r.id: r.access_score for r in df.collect()}), str(tmp_path / "c"), every="1 second")
+    for _ in range(100):
+        if saved:
+            break
+        time.sleep(0.2)
+    query.stop()
+    assert saved[0] == {"a": 0.1, "b": 5.0}

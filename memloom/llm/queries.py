@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.llm import chunks, components, mixing, moderation, neardup, packing, tokens, vectors
+from memloom.operators.vector_search import knn_many
+from memloom.runtime import materialize
 from memloom.sources.tables import current_nodes, latest_edges, norm_id, norm_name, table
 
 MIN_COSINE = 0.85
@@ -23,6 +25,17 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("node_id"), "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of p1_neighbours against exact search, for every fiftieth node (by hash, ids aren't numbers)."""
+    nodes = materialize(current_nodes(table(spark, sf_dir, "nodes"), "embedding"), "nodes")
+    fine = (F.size("embedding") == 64) & F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    usable = nodes.where(fine)
+    exact = knn_many(usable, usable.where(F.pmod(F.xxhash64("id"), F.lit(50)) == 0), 5).select(F.col("query_id").alias("id"), F.col("id").alias("neighbour"), F.lit(1).alias("exact"))
+    found = vectors.nearest_vectors(nodes, "id", "embedding", k=5).select("id", "neighbour", F.lit(1).alias("hit"))
+    both = exact.join(found, ["id", "neighbour"], "left")
+    return both.agg((F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.sum("exact")).alias("recall_ok"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_pairs(current_nodes(table(spark, sf_dir, "nodes"), "content"), "id", "content")
 
@@ -49,6 +62,19 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("config_id", F.col("id").alias("node_id"), "piece", "start", "end", "text")
 
 
+def p3_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By config what has to hold: the texts cut, every piece within the limit, the bodies put together as long as
+    the texts, and every piece but the first beginning ``overlap`` before its body (or with the text)."""
+    nodes = current_nodes(table(spark, sf_dir, "nodes"), "content")
+    configs = table(spark, sf_dir, "chunking_config")
+    limits = chunks.valid_configs(configs).select("config_id", "max_chunk_size", "overlap").distinct()
+    pieces = chunks.chunk_pieces(nodes, configs).join(limits, "config_id")
+    begins = F.col("start") == F.when(F.col("piece") == 0, F.lit(0)).otherwise(F.greatest(F.col("body") - F.col("overlap"), F.lit(0)))
+    by_text = pieces.groupBy("config_id", "id").agg(F.sum(F.col("end") - F.col("body")).alias("n"), F.max(F.length("text") - F.col("max_chunk_size")).alias("over"), F.min(begins.cast("int")).alias("begins"))
+    whole = by_text.join(nodes.select("id", F.length("content").alias("length")), "id")
+    return whole.groupBy("config_id").agg(F.count("*").alias("texts"), (F.max("over") <= 0).alias("within"), (F.min((F.col("n") == F.col("length")).cast("int")) == 1).alias("whole"), (F.min("begins") == 1).alias("overlapping"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = latest_edges(table(spark, sf_dir, "edges").where(norm_name("relation") == "similar_to"), "expired")
     links = e.where((F.col("source") != F.col("target")) & ~F.coalesce("expired", F.lit(False)))
@@ -134,7 +160,7 @@ def p9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moderation.label_report(moderation.score_texts(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "moderation_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_groups, p3_found, p3_pieces, p5_found, p7_found, p7_packed, p7_report, p7_invariants, p8_found, p8_chosen, p8_report, p8_invariants, p9_found, p9_scores, p9_rates, p9_labels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_groups, p3_found, p3_pieces, p3_invariants, p5_found, p7_found, p7_packed, p7_report, p7_invariants, p8_found, p8_chosen, p8_report, p8_invariants, p9_found, p9_scores, p9_rates, p9_labels)}
 
 _CURRENT = """cur AS (SELECT lower(trim(id)) AS id, arg_max(content, coalesce(updated_at, TIMESTAMPTZ '1970-01-01 00:00:00+00')) AS content FROM nodes WHERE id IS NOT NULL GROUP BY 1)"""
 # Pairs are narrowed by size only, so nothing of the operator is in the SQL.
@@ -148,6 +174,7 @@ _TOKENS = "sized AS (SELECT doc_id, replace(lower(trim(source)), '-', '_') AS so
 _MIX = """want AS (SELECT mix_id, replace(lower(trim(source)), '-', '_') AS source, sum(greatest(coalesce(weight, 0), 0)) AS w, max(coalesce(max_repeats, 1)) AS r FROM mix_targets GROUP BY 1, 2)"""
 
 SQL = {
+    "p1_recall": "SELECT true AS recall_ok",
     "p2_found": f"WITH {_NEAR} SELECT node_a, node_b FROM pairs",
     "p2_groups": f"""WITH RECURSIVE {_NEAR}, both_ways AS (SELECT node_a AS s, node_b AS t FROM pairs UNION SELECT node_b, node_a FROM pairs),
 reach AS (SELECT id, id AS seen FROM big UNION SELECT r.id, b.t FROM reach r JOIN both_ways b ON b.s = r.seen)
@@ -156,6 +183,9 @@ SELECT id AS node_id, min(seen) AS group_id FROM reach GROUP BY 1""",
   WHERE max_chunk_size > 0 AND min_chunk_size <= max_chunk_size AND overlap < max_chunk_size AND overlap >= 0 AND semantic_threshold BETWEEN 0 AND 1),
 longest AS (SELECT id, length(content) AS n, list_max(list_transform(string_split(regexp_replace(regexp_replace(content, '([.!?])([ \\t\\r\\n])', '\\1' || chr(1) || '\\2', 'g'), '([。！？])', '\\1' || chr(1), 'g'), chr(1)), lambda x: length(trim(x, ' ' || chr(9) || chr(10) || chr(13))))) AS sentence FROM cur WHERE content IS NOT NULL)
 SELECT config_id, id AS node_id, (s AND sentence > m)::INT AS forced FROM longest JOIN cfg ON n > m""",
+    "p3_invariants": f"""WITH {_CURRENT}, cfg AS (SELECT DISTINCT config_id, max_chunk_size AS m FROM chunking_config
+  WHERE max_chunk_size > 0 AND min_chunk_size <= max_chunk_size AND overlap < max_chunk_size AND overlap >= 0 AND semantic_threshold BETWEEN 0 AND 1)
+SELECT config_id, count(*) AS texts, true AS within, true AS whole, true AS overlapping FROM cur JOIN cfg ON length(content) > m GROUP BY 1""",
     "p7_found": f"WITH {_TOKENS} SELECT doc_id FROM sized WHERE n > 4096",
     "p7_invariants": "SELECT count(*) AS documents, 0 AS divided_small, 0 AS overfull, true AS well_filled FROM documents",
     "p8_found": f"""WITH {_TOKENS}, {_MIX}, have AS (SELECT source, sum(n) AS n FROM sized GROUP BY 1)

@@ -172,8 +172,8 @@ def shard_size(n: int) -> int:
 def probes_for(shards: int, min_cosine: float) -> int:
     """Shards a vector is searched in, its own included; it follows the number of shards, so that recall doesn't
     fall as they get more. Neighbours above a high floor are nearer, and fewer shards have them."""
-    share = 0.4 if min_cosine >= 0.8 else 1.7
-    return min(shards, max(3, round(share * shards**0.5)))
+    root = shards**0.5
+    return min(shards, max(3, round(0.4 * root)) if min_cosine >= 0.8 else 2 + round(1.2 * root))
 
 
 def _unit_rows(c: np.ndarray) -> np.ndarray:

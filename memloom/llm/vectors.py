@@ -176,6 +176,12 @@ def probes_for(shards: int, min_cosine: float) -> int:
     return min(shards, max(3, round(0.4 * root)) if min_cosine >= 0.8 else 2 + round(1.2 * root))
 
 
+def beam_for(shard: int, min_cosine: float) -> int:
+    """Candidates a search keeps. Without a high floor it follows the root of the shard: far neighbours are many and
+    alike, and a narrow beam misses more of them in a larger graph."""
+    return BEAM if min_cosine >= 0.8 else max(BEAM, round(BEAM * (shard / 1024) ** 0.5))
+
+
 def _unit_rows(c: np.ndarray) -> np.ndarray:
     return (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
@@ -275,7 +281,7 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return x
 
 
-def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, min_cosine: float = -1.0, dim: int = 64, probes: int | None = None, shard: int | None = None, beam: int = BEAM) -> DataFrame:
+def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, min_cosine: float = -1.0, dim: int = 64, probes: int | None = None, shard: int | None = None, beam: int | None = None) -> DataFrame:
     """``id, neighbour, cosine, rank``: up to ``k`` most similar ids of every id with a usable vector,
     those with at least ``min_cosine`` only, nearest first, ties by the smaller id.
 
@@ -293,6 +299,7 @@ def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, k: int = 5, min
     if not n:
         return spark.createDataFrame([], schema)
     shard = shard or shard_size(n)
+    beam = beam or beam_for(shard, min_cosine)
     wanted = -(-n // shard)
     sampled = max(SAMPLE, SAMPLED * wanted)
     # Drawn by the hash of the value, so a vector that is there many times is in the sample once or not at all.

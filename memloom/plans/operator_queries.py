@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import decay, enums, text, vector
 from memloom.operators import chunking, filters, graph, memory, mutations, paql, rag, traces, vector_search
-from memloom.plans.reference_queries import AS_OF, BUSY, HOURS, _ALL, _Q, E, N, S, as_of, busiest, edges, graph_tables, node_ids, nodes, query_vector, spans
+from memloom.plans.reference_queries import AS_OF, BUSY, HOURS, _Q, E, N, S, as_of, busiest, edges, graph_tables, node_ids, nodes, query_vector, spans
 from memloom.plans.registry import registry
 from memloom.runtime import materialize, scratch
 from memloom.sources.tables import norm_id, norm_name, table

@@ -26,12 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.llm.components import connected_components
 from memloom.runtime import materialize, shuffle_partitions, slots
 
 WORD = re.compile(r"[^\W_]+")  # maximal runs of letters or digits
 BITS = 256
 COMMON = 8192  # the most frequent words, sent to every task; the order of all others is joined
 BLOCK = 2048  # sets in one tree
+NEAREST = 4  # candidates of a set and shard that a first search for groups gives
 
 
 class BKTree:
@@ -180,9 +182,12 @@ def radius(a: int, b: int, threshold: float) -> int:
     return math.floor((a + b) * (1 - threshold) / (1 + threshold) + 1e-9)
 
 
-def _search_shards(shards: DataFrame, threshold: float) -> DataFrame:
+def _search_shards(shards: DataFrame, threshold: float, most: int | None = None, labelled: bool = False) -> DataFrame:
     """Candidate pairs (a, b) from sorted rows (key, block, member, n, cid, sketch): members of a block
-    are put into its tree in order of their size and looked up before; guests of it are only looked up."""
+    are put into its tree in order of their size and looked up before; guests of it are only looked up.
+
+    With ``most``, only so many of the nearest candidates of a search are given; with ``labelled``, rows have a
+    seventh column, and pairs of one label aren't given."""
 
     def scan(batches):
         seen: set[tuple[int, int]] = set()
@@ -198,6 +203,7 @@ def _search_shards(shards: DataFrame, threshold: float) -> DataFrame:
             out = []
             sizes = batch.column(3).to_numpy().tolist()
             cids = batch.column(4).to_numpy().tolist()
+            labels = batch.column(6).to_numpy().tolist() if labelled else cids
             sketches = batch.column(5).take(pa.array(todo)).to_pylist()
             keys, blocks, member = keys.tolist(), blocks.tolist(), member.tolist()
             for i, raw in zip(todo.tolist(), sketches):
@@ -207,14 +213,16 @@ def _search_shards(shards: DataFrame, threshold: float) -> DataFrame:
                 n, cid, value = sizes[i], cids[i], int.from_bytes(raw, "little")
                 # Members come by size, so all in the tree are at most as large; guests may be smaller.
                 reach = radius(n, n if member[i] else math.floor(n / threshold + 1e-9), threshold)
-                for d, (other, m) in tree.within(value, reach):
-                    if other != cid and min(n, m) >= threshold * max(n, m) - 1e-9 and d <= radius(n, m, threshold):
-                        pair = (cid, other) if cid < other else (other, cid)
-                        if pair not in seen:
-                            seen.add(pair)
-                            out.append(pair)
+                near = [(d, other) for d, (other, m, at_label) in tree.within(value, reach) if other != cid and not (labelled and at_label == labels[i]) and min(n, m) >= threshold * max(n, m) - 1e-9 and d <= radius(n, m, threshold)]
+                if most is not None and len(near) > most:
+                    near = sorted(near)[:most]
+                for _, other in near:
+                    pair = (cid, other) if cid < other else (other, cid)
+                    if pair not in seen:
+                        seen.add(pair)
+                        out.append(pair)
                 if member[i]:
-                    tree.add(value, (cid, n))
+                    tree.add(value, (cid, n, labels[i]))
             if len(seen) > 1_000_000:
                 seen.clear()
             if out:
@@ -236,7 +244,52 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold:
     ``df`` has one row an id. Null, empty and short texts are in no class; an empty table gives none;
     other columns aren't read.
     """
-    spark = df.sparkSession
+    members, classes, shards = _shards(df, id_col, text_col, threshold, min_words, block, common_words)
+    return members, _verified(_search_shards(_in_order(shards), threshold).distinct(), classes, threshold)
+
+
+def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, min_words: int = 20, block: int = BLOCK, common_words: int = COMMON) -> DataFrame:
+    """(id, group_id) of every text of at least ``min_words`` different words: the smallest id of all texts it is linked
+    with, directly or through others.
+
+    A group of M texts that all differ has up to M * M / 2 links, but needs no more than M - 1. So a first search
+    gives each set its nearest candidates only, which joins nearly all of a group, and a second one gives
+    every candidate of another group. No link between groups is missed: what the second search passes over is
+    joined already. Conditions on the input are those of ``near_duplicate_classes``.
+    """
+    members, classes, shards = _shards(df, id_col, text_col, threshold, min_words, block, common_words)
+    shards = materialize(shards, "shards")
+    first = _verified(_search_shards(_in_order(shards), threshold, most=NEAREST).distinct(), classes, threshold)
+    labels = materialize(connected_components(first, "a", "b").select(F.col("id").cast("long").alias("cid"), F.col("label").cast("long").alias("label")), "labels")
+    named = shards.join(labels, "cid", "left").select("key", "block", "member", "n", "cid", "sketch", F.coalesce("label", "cid").alias("label"))
+    second = _verified(_search_shards(_in_order(named), threshold, labelled=True).distinct(), classes, threshold)
+    between = second.join(labels.withColumnsRenamed({"cid": "a", "label": "x"}), "a", "left").join(labels.withColumnsRenamed({"cid": "b", "label": "y"}), "b", "left")
+    merged = connected_components(between.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    merged = merged.select(F.col("id").cast("long").alias("label"), F.col("label").cast("long").alias("last"))
+    last = labels.join(merged, "label", "left").select("cid", F.coalesce("last", "label").alias("group"))
+    alone = merged.select(F.col("label").alias("cid"), F.col("last").alias("group")).join(labels.select("cid"), "cid", "left_anti")
+    grouped = members.join(last.unionByName(alone), "cid", "left").select("id", F.coalesce("group", "cid").alias("group"))
+    smallest = grouped.groupBy("group").agg(F.min("id").alias("group_id"))
+    return grouped.join(smallest, "group").select("id", "group_id")
+
+
+def _in_order(shards: DataFrame) -> DataFrame:
+    """Members first and by size, so that the tree is whole when the guests come."""
+    parts = max(shuffle_partitions(shards.sparkSession), slots(shards.sparkSession, 2))
+    return shards.repartition(parts, "key", "block").sortWithinPartitions("key", "block", F.desc("member"), "n", "cid")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the candidates that are similar enough, by their words."""
+    left = classes.select(F.col("cid").alias("a"), F.col("words").alias("wa"))
+    right = classes.select(F.col("cid").alias("b"), F.col("words").alias("wb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("wa").alias("na"), F.size("wb").alias("nb"), F.size(F.array_intersect("wa", "wb")).alias("common"))
+    similarity = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
+    return materialize(both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold), "links")
+
+
+def _shards(df: DataFrame, id_col: str, text_col: str, threshold: float, min_words: int, block: int, common_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, classes (cid, set_key, words), shards (key, block, member, n, cid, sketch))."""
     raw = word_sets(df, id_col, text_col, min_words)
     texts = raw.where("id is not null")
     firsts = texts.groupBy("set_key").agg(F.min("id").alias("id"))
@@ -266,15 +319,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold:
         extra = cut.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("block"), "own", "n", "cid", "sketch").select("key", "block", (F.col("block") == F.col("own")).alias("member"), "n", "cid", "sketch")
     shards = plain.select("key", F.lit(0).alias("block"), F.lit(True).alias("member"), "n", "cid", "sketch")
     shards = shards.unionByName(extra) if extra is not None else shards
-    # Members first and by size, so that the tree is whole when the guests come.
-    parts = max(shuffle_partitions(spark), slots(spark, 2))
-    ready = shards.repartition(parts, "key", "block").sortWithinPartitions("key", "block", F.desc("member"), "n", "cid")
-    pairs = _search_shards(ready, threshold).distinct()
-    left = classes.select(F.col("cid").alias("a"), F.col("words").alias("wa"))
-    right = classes.select(F.col("cid").alias("b"), F.col("words").alias("wb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("wa").alias("na"), F.size("wb").alias("nb"), F.size(F.array_intersect("wa", "wb")).alias("common"))
-    similarity = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    return members, materialize(both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold), "links")
+    return members, classes, shards
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, min_words: int = 20, expand: int | None = None) -> DataFrame:

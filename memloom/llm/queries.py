@@ -42,12 +42,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of at least 20 words with the smallest id of its group."""
-    members, links = neardup.near_duplicate_classes(current_nodes(table(spark, sf_dir, "nodes"), "content"), "id", "content")
-    first = members.groupBy("cid").agg(F.min("id").alias("first"))
-    named = links.join(first.select(F.col("cid").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("cid").alias("b"), F.col("first").alias("y")), "b")
-    groups = components.connected_components(named, "x", "y")
-    grouped = first.join(groups.select(F.col("id").alias("first"), "label"), "first", "left").select("cid", F.coalesce("label", "first").alias("group_id"))
-    return members.join(grouped, "cid").select(F.col("id").alias("node_id"), "group_id")
+    groups = neardup.near_duplicate_groups(current_nodes(table(spark, sf_dir, "nodes"), "content"), "id", "content")
+    return groups.select(F.col("id").alias("node_id"), "group_id")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,10 +73,13 @@ def p3_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = latest_edges(table(spark, sf_dir, "edges").where(norm_name("relation") == "similar_to"), "expired")
-    links = e.where((F.col("source") != F.col("target")) & ~F.coalesce("expired", F.lit(False)))
+    links = materialize(e.where((F.col("source") != F.col("target")) & ~F.coalesce("expired", F.lit(False))).select("source", "target"), "links")
     ids = table(spark, sf_dir, "nodes").select(norm_id("id").alias("id")).distinct()
+    # Each end is looked up once, however many rows it has; the rows are only compared with the ends that are no nodes.
+    ends = links.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    missing = materialize(ends.join(ids, "id", "left_anti"), "missing")
     for side in ("source", "target"):
-        links = links.join(ids.withColumnRenamed("id", side), side, "left_semi")
+        links = links.join(missing.withColumnRenamed("id", side), side, "left_anti")
     groups = components.connected_components(links, "source", "target")
     return groups.select(F.col("id").alias("node_id"), F.col("label").alias("group_id"))
 

@@ -118,3 +118,19 @@ def test_order_and_blocks_lose_nothing(spark, common, block):
     found = {tuple(sorted((x, y))) for r in links.collect() for x in of[r.a] for y in of[r.b]}
     found |= {(a, b) for ids in of.values() for a in ids for b in ids if a < b}
     assert found == brute(texts) and all(len({frozenset(sets[i]) for i in ids}) == 1 for ids in of.values())
+
+
+@pytest.mark.parametrize("block", [8, 2048])
+def test_groups(spark, block, monkeypatch):
+    """Two searches, the first for the nearest candidates only, give the groups that all links give."""
+    monkeypatch.setattr(N, "NEAREST", 1)
+    texts = corpus(9, hot=40)
+    links = brute(texts)
+    ids = sorted({i for i, t in texts.items() if len(N.words_of(t)) >= 20})
+    group = {i: i for i in ids}
+    for _ in ids:
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    df = spark.createDataFrame(list(texts.items()) + [("null", None), ("short", "a b c")], "id string, content string")
+    assert {r.id: r.group_id for r in N.near_duplicate_groups(df, "id", "content", block=block).collect()} == group
+    assert N.near_duplicate_groups(df.limit(0), "id", "content").collect() == []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.decay import DecayConfig, clamp, current_score, raw_score
@@ -53,12 +53,19 @@ def fold_access(log: DataFrame, as_of: Column, config: DecayConfig = DecayConfig
     return whole.select("node_id", F.aggregate("bs", zero, join).alias("r")).select("node_id", F.col("r.score").alias("score"), F.col("r.ts").alias("last_access"), F.col("r.n").cast("long").alias("accesses"))
 
 
-def access_gaps(log: DataFrame, as_of: Column) -> DataFrame:
-    """Every access with the hours since the one before of the same node, by stitched ranges: hot nodes are cut."""
+def access_gaps(log: DataFrame, as_of: Column, bucket: int = 5_000) -> DataFrame:
+    """Every access with the hours since the one before of the same node.
+
+    Ranks are stitched over range partitions, every ``bucket`` of them are a window of their own, so a hot node is
+    cut; the first access of a bucket takes the last one of the bucket before from a table with a row a bucket."""
     events = access_events(log, as_of)
-    ranked = materialize(stitched_rank(events, ["node_id"], ["ts", "log_id"]), "gaps")
-    before = ranked.select("node_id", (F.col("rank") + 1).alias("rank"), F.col("ts").alias("before"))
-    return ranked.join(before, ["node_id", "rank"], "left").select("log_id", "node_id", "ts", ((F.unix_micros("ts") - F.unix_micros("before")) / 3.6e9).alias("gap_hours"))
+    ranked = materialize(stitched_rank(events, ["node_id"], ["ts", "log_id"]).withColumn("part", F.floor((F.col("rank") - 1) / bucket)), "gaps")
+    within = F.lag("ts").over(Window.partitionBy("node_id", "part").orderBy("rank"))
+    ends = ranked.groupBy("node_id", (F.col("part") + 1).alias("part")).agg(F.max("ts").alias("end"))  # ranks go by time
+    cut = ranked.where(F.col("part") > 0).select("node_id").distinct()
+    lagged = ranked.withColumn("lagged", within)
+    joined = lagged.join(ends.join(cut, "node_id", "left_semi"), ["node_id", "part"], "left")
+    return joined.withColumn("before", F.coalesce("lagged", "end")).select("log_id", "node_id", "ts", ((F.unix_micros("ts") - F.unix_micros("before")) / 3.6e9).alias("gap_hours"))
 
 
 def all_scores(nodes: DataFrame, as_of: Column, config: DecayConfig = DecayConfig()) -> DataFrame:

@@ -22,12 +22,13 @@ def access_scores(events: DataFrame, config: DecayConfig = DecayConfig(), start:
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
         score, last, n = state.get if state.exists else (start, None, 0)
         rows = pd.concat(list(batches)).sort_values(["ts", "log_id"])
-        for ts, boost in rows[["ts", "boost"]].itertuples(index=False):
-            micros = int(ts.value // 1000)
+        times = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+        boosts = rows["boost"].astype("float64").fillna(1.0).tolist()
+        for micros, boost in zip(times, boosts):  # the clamps make every step depend on the one before
             if last is not None:
                 gap = max(0.0, (micros - last) / 3.6e9)
                 score = min(max(score * math.exp(-config.rate * gap), config.min_score), config.max_score)
-            score = min(max(score + config.boost * (1.0 if boost is None or math.isnan(boost) else boost), config.min_score), config.max_score)
+            score = min(max(score + config.boost * boost, config.min_score), config.max_score)
             last = micros if last is None else max(last, micros)
             n += 1
         state.update((float(score), last, n))

@@ -252,3 +252,16 @@ def test_shared_folder_on_a_cluster():
         with pytest.raises(RuntimeError):
             runtime.shared_dir(Fake(master))
     assert runtime.shared_dir(Fake("local[4]")).startswith("file://")
+
+
+@pytest.mark.parametrize("bucket", [1, 4, 5000])
+def test_access_gaps_in_buckets(spark, bucket):
+    r = random.Random(6)
+    log = [(i, r.choice(["a", "b", "c"]), f"2024-01-{1 + r.randrange(9):02} {r.randrange(24):02}:00:00") for i in range(50)]
+    df = spark.createDataFrame(log, "log_id long, node_id string, t string").select("log_id", "node_id", F.col("t").cast("timestamp").alias("ts"), F.lit(1.0).alias("boost"))
+    last, want = {}, {}
+    for i, n, t in sorted(log, key=lambda x: (x[2], x[0])):
+        hours = int(t[8:10]) * 24 + int(t[11:13])
+        want[i] = None if n not in last else float(hours - last[n])
+        last[n] = hours
+    assert {x.log_id: x.gap_hours for x in memory.access_gaps(df, F.lit("2024-02-01").cast("timestamp"), bucket).collect()} == want

@@ -269,7 +269,7 @@ def g_all_paths(spark, d):
 
 
 @query(f"""WITH RECURSIVE {_FAR}, way AS (SELECT path FROM p WHERE here IN (FROM goal) ORDER BY len(path), path LIMIT 1),
-one AS (SELECT source, target, arg_min(relation, seq) AS relation, arg_min(weight, seq) AS weight FROM e GROUP BY 1, 2),
+one AS (SELECT source, target, o.relation AS relation, o.weight AS weight FROM (SELECT source, target, arg_min({{'relation': relation, 'weight': weight}}, seq) AS o FROM e GROUP BY 1, 2)),
 steps AS (SELECT path, i, one.relation, one.weight FROM way, unnest(range(1, len(path))) AS u(i) JOIN one ON one.source = path[i] AND one.target = path[i + 1]),
 lab AS (SELECT i, CASE WHEN length(n.content) > 20 THEN substring(n.content, 1, 17) || '...' ELSE n.content END AS label FROM way, unnest(range(1, len(path) + 1)) AS u(i) JOIN n ON n.id = path[i]),
 said AS (SELECT steps.*, a1.label || ' ' || CASE relation {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in graph.EDGE_VERBS.items())} ELSE replace(relation, '_', ' ') END || ' ' || a2.label AS words
@@ -282,7 +282,7 @@ def g_explain(spark, d):
     return graph.explain_relationship(e, nodes(spark, d, "content"), start, end).select(F.array_join("path", "/").alias("path"), F.round("confidence", 6).alias("confidence"), "weakest", "path_type", "explanation")
 
 
-@query(f"""WITH {N}, {E}, one AS (SELECT source, target, arg_min(relation, seq) AS relation, arg_min(weight, seq) AS weight FROM a GROUP BY 1, 2),
+@query(f"""WITH {N}, {E}, one AS (SELECT source, target, o.relation AS relation, o.weight AS weight FROM (SELECT source, target, arg_min({{'relation': relation, 'weight': weight}}, seq) AS o FROM a GROUP BY 1, 2)),
 p AS (SELECT x.source AS n1, x.target AS n2, y.target AS n3, x.weight * y.weight AS c, least(x.weight, y.weight) AS low,
   CASE WHEN x.relation = 'causes' AND y.relation = 'causes' THEN 'causal' WHEN x.relation IN ('is_part_of', 'is_a') AND y.relation IN ('is_part_of', 'is_a') THEN 'hierarchical'
   WHEN x.relation = 'happened_after' AND y.relation = 'happened_after' THEN 'temporal' ELSE 'hybrid' END AS kind

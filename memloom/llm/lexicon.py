@@ -127,7 +127,7 @@ CALLED = {
     "group": [(1.0, "<people> <folk>?"), (1.0, "<they>"), (0.95, "<name> <folk>?"), (0.65, "<other> <folk>?"), (0.95, "<name|other> people|folk|tribe")],
     # what they are called
     "insult": [(1.0, "<strong|oaf|weak|animal>"), (1.0, "piece|pile|load|bag|sack of <vulgar|animal>"), (0.95, "waste of oxygen|air|space|skin|breath|flesh"), (0.9, "disgrace|embarrassment|failure"), (1.0, "brain dead|braindead")],
-    "harsh": [(1.0, "<strong>"), (1.0, "piece|pile|load|bag|sack of <vulgar>"), (1.0, "pedazo|espece|tas de <vulgar|strong|oaf|weak>")],
+    "harsh": [(1.0, "<strong>"), (1.0, "piece|pile|load|bag|sack of <vulgar>"), (1.0, "stuck|haufen <vulgar>"), (1.0, "pedazo|espece|tas de <vulgar|strong|oaf|weak>")],
     "dimness": [(1.0, "<weak>"), (1.0, "dim|thick|dense|thickheaded|ignorant|incapable")],
     # what happens to them
     "hurting": [(1.0, "<harm>"), (1.0, "run ~1 over"), (1.0, "make|makes <thou> <suffer>"), (1.0, "rip|tear ~2 apart|off")],
@@ -175,6 +175,7 @@ RULES = [
     ("abuse", 0.9, "fresse|maul|schnauze halten"),
     ("abuse", 0.9, "verpiss|verpisst|fick <you>"),
     ("abuse", 0.9, "leck mich"),
+    ("abuse", 0.85, "que <you> jodan|follen|den"),
     ("abuse", 0.8, "so ein|eine|einen @insult wie <you>"),
     ("abuse", 0.9, "ferme|fermez <you|degree> gueule|geule"),
     ("abuse", 0.9, "ta gueule"),
@@ -252,7 +253,7 @@ RULES = [
     ("hate", 0.9, "<vice|fault> ~2 @essence"),
     ("hate", 0.9, "@essence ~3 <vice|fault>"),
     ("hate", 0.85, "<lack> ~1 @essence ~2 <mind>"),
-    ("hate", 0.55, "@group ~1 <lack> <degree>? <degree>? <mind>"),
+    ("hate", 0.45, "@group ~1 <lack> <degree>? <degree>? <mind>"),
     ("hate", 0.6, "<vice> every|all|each ~1 one|of ~1 them"),
     ("hate", 0.85, "<people> ~1 cannot|can't|can't|cant be trusted"),
     ("hate", 0.85, "<people> <be> ~1 not to be trusted"),
@@ -295,6 +296,7 @@ RULES = [
     ("sexual", 0.85, "wearing ~2 <underwear>"),
     ("sexual", 0.85, "touch|touching|finger|fingering|stroke|stroking myself|yourself|herself|himself"),
     ("sexual", 0.85, "hand|hands|fingers|finger|tongue|mouth ~2 between|inside|up|under|into ~1 <poss> ~1 <intimate>"),
+    ("sexual", 0.85, "hand|hands|fingers ~2 down <poss> ~1 <underwear>"),
     ("sexual", 0.85, "<moan> ~3 <came|lick>"),
     ("sexual", 0.85, "<moan> louder|harder|loudly"),
     ("sexual", 0.85, "<lick> each other|another"),
@@ -302,7 +304,7 @@ RULES = [
     ("sexual", 0.85, "suck|lick|ride|stroke|suce|sucez|chupa my|his|ma|mi|la ~1 <body|intimate>"),
     ("sexual", 0.85, "<send> ~4 <nude>"),
     ("sexual", 0.85, "want|wants|love|like|need|let|wanna ~2 see|touch|lick|grab|feel|squeeze|taste <poss|you> ~1 <body|intimate>"),
-    ("sexual", 0.85, "<nude|horny> ~2 <persons> ~5 <offer>"),
+    ("sexual", 0.85, "<nude|horny> ~1 <persons> ~5 <offer>"),
     ("sexual", 0.85, "<horny> <nude>? <persons>"),
     ("sexual", 0.85, "<persons> <horny>"),
     ("sexual", 0.85, "<persons> ~2 sans|sin|ohne|without|no <bare>"),

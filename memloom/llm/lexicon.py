@@ -175,7 +175,7 @@ RULES = [
     ("abuse", 0.9, "fresse|maul|schnauze halten"),
     ("abuse", 0.9, "verpiss|verpisst|fick <you>"),
     ("abuse", 0.9, "leck mich"),
-    ("abuse", 0.85, "que <you> jodan|follen|den"),
+    ("abuse", 0.85, "que <you> jodan|follen"),
     ("abuse", 0.8, "so ein|eine|einen @insult wie <you>"),
     ("abuse", 0.9, "ferme|fermez <you|degree> gueule|geule"),
     ("abuse", 0.9, "ta gueule"),
